@@ -5,11 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandlake.llm import chat, mixing, sharding
+from strandlake.llm import chat, langid, mixing, sharding, warc
 from strandlake.llm.runtime import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    out = langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), langid.train(docs, ~held_out))
+    return out.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return out.select("doc_id", "source", "block", "release", "deadline", "mix_slot", "position")
@@ -19,12 +27,17 @@ def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 16)
 
 
+def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_format(table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mix_sources, op3_kd_shards, op7_chat_snapshots)}
+    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_kd_shards, op4_warc_round_trip, op7_chat_snapshots)}
 
 
 OP7_SQL = """

@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.runtime import ROWS_PER_BUCKET, buckets_for, numbered, written
+from strandlake.llm.runtime import MOST_BUCKETS, ROWS_PER_BUCKET, buckets_for, numbered
 
 #: Bytes of a block.
 BLOCK_BYTES = 65_536
@@ -56,11 +56,12 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: floa
     weight named. A source's rows, in the order of md5(doc_id), are cut into blocks of block_bytes (text's UTF-8 bytes plus 1 a
     row; a row belongs to the block in which it starts). Blocks run by `pfair`, period after period; a source that has run out leaves its slots
     to the others. position numbers all rows without gaps in that order: none is dropped or repeated. Null sources are one source
-    of their own, named with an empty string, as empty ones are. Null doc_ids come first. Rows that tie are in any order. An empty table stays empty.
+    of their own, named with an empty string, as empty ones are. Null doc_ids come first. Rows that tie are in any order; partitions
+    and the rows in them follow position. An empty table stays empty.
     """
     spark = docs.sparkSession
     sized = docs.withColumn("_src", F.coalesce(F.col("source"), F.lit(""))).withColumn("_size", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long"))
-    sized = written(sized.withColumn("_u", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "mix-rows")
+    sized = sized.withColumn("_u", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("_t", F.crc32("text"))
     sums = {r["_src"]: r for r in sized.groupBy("_src").agg(F.sum("_size").alias("b"), F.count("*").alias("n")).collect()}
     if not sums:
         return docs.select("*", *[F.lit(0).cast("long").alias(c) for c in ("block", "release", "deadline", "mix_slot", "position")])
@@ -74,15 +75,15 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: floa
     # A row for each slot of a period: it grows with the sources (a quarter of it at most), not with the rows.
     plan = spark.createDataFrame([(s, slots[s], j, r, d, t) for s, j, r, d, t in pfair(slots)], "_p_src string, _p_a int, _p_j int, _p_r int, _p_d int, _p_t int")
     rows, size = sum(r["n"] for r in sums.values()), sum(r["b"] for r in sums.values())
-    bits = buckets_for(rows).bit_length() - 1
+    bits = buckets_for(rows, len(sums)).bit_length() - 1
     bucket = F.shiftright(F.conv(F.substring("_u", 1, 6), 16, 10).cast("int"), 24 - min(bits, 24))
-    own = numbered(sized.withColumn("_b", bucket), ["_src"], "_b", [F.col("_u"), F.col("doc_id"), F.col("_size"), F.crc32("text")], "_start", F.col("_size"))
+    own = numbered(sized.withColumn("_b", bucket), ["_src"], "_b", [F.col("_u"), F.col("doc_id"), F.col("_size"), F.col("_t")], "_start", F.col("_size"))
     own = own.withColumn("block", F.expr(f"_start div {block_bytes}"))
     per_source = F.broadcast(spark.createDataFrame([(s, slots[s]) for s in slots], "_q_src string, _q_a int"))
     own = own.join(per_source, F.col("_src") == F.col("_q_src")).withColumn("_j", F.pmod("block", "_q_a").cast("int")).withColumn("_r", F.expr("block div _q_a"))
     own = own.join(F.broadcast(plan), (F.col("_src") == F.col("_p_src")) & (F.col("_j") == F.col("_p_j")))
     own = own.select("*", *[(F.col("_r") * period + F.col(f"_p_{k}")).alias(c) for k, c in (("r", "release"), ("d", "deadline"), ("t", "mix_slot"))])
-    own = written(own.select(*docs.columns, "block", "release", "deadline", "mix_slot", "_start", "_u"), "mix-slots")
-    per_bucket = max(1, int(ROWS_PER_BUCKET / (rows / max(1, size / block_bytes))))
-    out = numbered(own.withColumn("_b", F.expr(f"mix_slot div {per_bucket}")), [], "_b", [F.col("mix_slot"), F.col("_start"), F.col("_u"), F.col("doc_id")], "position")
+    blocks = max(1, size // block_bytes)
+    per_bucket = max(1, int(ROWS_PER_BUCKET / (rows / blocks)), -(-(blocks + period) * len(sums) // MOST_BUCKETS))
+    out = numbered(own.withColumn("_b", F.expr(f"mix_slot div {per_bucket}")), [], "_b", [F.col("mix_slot"), F.col("_start"), F.col("_u"), F.col("doc_id")], "position", ranged=True)
     return out.select(*docs.columns, "block", "release", "deadline", "mix_slot", "position")

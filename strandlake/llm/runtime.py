@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 #: Rows that one task of a numbering window sorts.
 ROWS_PER_BUCKET = 20_000
+#: Numbered buckets at most: their table of offsets is broadcast, and so stays below some 16 MB. Beyond that, buckets grow.
+MOST_BUCKETS = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,24 +45,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def buckets_for(rows: int) -> int:
-    """A power of two of buckets with about ROWS_PER_BUCKET rows each."""
-    return 1 << max(0, math.ceil(math.log2(max(1, rows / ROWS_PER_BUCKET))))
+def buckets_for(rows: int, groups: int = 1) -> int:
+    """A power of two of buckets with about ROWS_PER_BUCKET rows each, MOST_BUCKETS at most in all groups."""
+    return 1 << max(0, min(math.ceil(math.log2(max(1, rows / ROWS_PER_BUCKET))), int(math.log2(max(1, MOST_BUCKETS / groups)))))
 
 
-def numbered(df: DataFrame, group: list[str], bucket: str, order: list[Column], out: str, weight: Column | None = None) -> DataFrame:
+def numbered(df: DataFrame, group: list[str], bucket: str, order: list[Column], out: str, weight: Column | None = None, ranged: bool = False) -> DataFrame:
     """Add `out`: how much lies before the row in its group, counted from 0.
 
     Without weight this is the gapless row number, with weight the sum of weight over the rows before.
     Rows are ordered by (bucket, order); a group is never gathered in one task, only a bucket of it is:
     windows number each bucket, and a table with one row for each bucket has what lies before it.
-    df is read twice, so pass a written table. Rows that tie in `order` get their numbers in any order.
+    df is computed twice, the second time for its keys and weight only. Rows that tie in `order` get their numbers in any order.
+    The caller bounds the buckets (MOST_BUCKETS): their offsets are broadcast. ranged: partitions follow each other in the order of bucket.
     """
     one = F.lit(1).cast("long") if weight is None else weight
     keys = [*group, bucket]
     before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     sums = df.groupBy(*keys).agg(F.sum(one).alias("_n_all"))
     sums = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("_n_all").over(before), F.lit(0)).alias("_n_off"))
+    df = df.repartitionByRange(*keys) if ranged else df
     inside = Window.partitionBy(*keys).orderBy(*order)
     if weight is None:
         rows = df.withColumn("_n_in", (F.row_number().over(inside) - 1).cast("long"))
@@ -70,4 +74,4 @@ def numbered(df: DataFrame, group: list[str], bucket: str, order: list[Column],
     cond = on[0]
     for x in on[1:]:
         cond = cond & x
-    return rows.join(sums, cond).withColumn(out, F.col("_n_in") + F.col("_n_off")).drop("_n_in", "_n_off", *[f"_k{i}" for i in range(len(keys))])
+    return rows.join(F.broadcast(sums), cond).withColumn(out, F.col("_n_in") + F.col("_n_off")).drop("_n_in", "_n_off", *[f"_k{i}" for i in range(len(keys))])

@@ -160,7 +160,7 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     cond = (F.col("g") == F.col("_g")) & (F.col("text_crc32") == F.col("_text_crc32")) & (F.col("size") == F.col("_size"))
     dealt = rows.join(at, cond).select("doc_id", "size", "text_crc32", F.col("at")[F.pmod(F.xxhash64("doc_id"), F.size("at")).cast("int")].alias("shard"))
     dealt = written(dealt, "shard-dealt")
-    n = buckets_for(dealt.count())
+    n = buckets_for(dealt.count(), shards)
     dealt = dealt.withColumn("_b", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n)))
     out = numbered(dealt, ["shard"], "_b", [F.col("doc_id"), F.col("text_crc32")], "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import chat, langid, mixing, neardup, sharding, warc
+from strandlake.llm import chat, decontaminate, langid, mixing, neardup, sharding, warc
 from strandlake.llm.runtime import table
 
 
@@ -36,12 +36,16 @@ def op7_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_format(table(spark, sf_dir, "conversations"))
 
 
+def op8_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_kd_shards, op4_warc_round_trip, op7_chat_snapshots, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_kd_shards, op4_warc_round_trip, op7_chat_snapshots, op8_benchmark_matches, op10_near_duplicates)}
 
 
 OP7_SQL = """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import ann, chat, decontaminate, langid, mixing, neardup, sharding, warc
+from strandlake.llm import ann, chat, decontaminate, langid, mixing, neardup, pii, sharding, warc
 from strandlake.llm.runtime import table
 
 
@@ -36,6 +36,10 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_format(table(spark, sf_dir, "conversations"))
 
@@ -49,7 +53,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_kd_shards, op4_warc_round_trip, op5_nearest_neighbours, op7_chat_snapshots, op8_benchmark_matches, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_kd_shards, op4_warc_round_trip, op5_nearest_neighbours, op6_personal_data, op7_chat_snapshots, op8_benchmark_matches, op10_near_duplicates)}
 
 
 OP7_SQL = """

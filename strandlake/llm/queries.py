@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import ann, chat, decontaminate, langid, mixing, neardup, pii, sharding, warc
+from strandlake.llm import ann, chat, decontaminate, langid, mixing, neardup, passages, pii, sharding, warc
 from strandlake.llm.runtime import table
 
 
@@ -48,12 +48,16 @@ def op8_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_kd_shards, op4_warc_round_trip, op5_nearest_neighbours, op6_personal_data, op7_chat_snapshots, op8_benchmark_matches, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_language_id, op2_mix_sources, op3_kd_shards, op4_warc_round_trip, op5_nearest_neighbours, op6_personal_data, op7_chat_snapshots, op8_benchmark_matches, op9_repeated_passages, op10_near_duplicates)}
 
 
 OP7_SQL = """

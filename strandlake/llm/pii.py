@@ -18,8 +18,8 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 KINDS = tuple(PATTERNS)
-#: Distinct texts in which an entity and a term must occur before their co-occurrence says anything.
-SUPPORT = 3
+#: Texts' worth of the entity's overall share that are added to what a term's own texts say of it: rare entities and terms count, but not as certain.
+SMOOTH = 0.5
 #: A term discloses an entity if their pointwise mutual information reaches the entity's information content over ALPHA.
 ALPHA = 1.1
 TERM = r"[\p{L}\p{M}]+"
@@ -80,37 +80,40 @@ def base_spans(texts: DataFrame) -> DataFrame:
     return placed.where(_valid(F.col("kind"), F.col("value")))
 
 
-def disclosing(texts: DataFrame, spans: DataFrame, support: int = SUPPORT, alpha: float = ALPHA) -> DataFrame:
+def disclosing(texts: DataFrame, spans: DataFrame, smooth: float = SMOOTH, alpha: float = ALPHA) -> DataFrame:
     """(k, term): terms of a text that disclose an entity in it.
 
-    Entities are base matches (kind, value); entities and terms count once for each distinct text. With n texts, an entity e in c(e) of them, a term t in c(t) and both
-    in c(e, t), t discloses e if log(c(e,t) n / (c(e) c(t))) >= log(n / c(e)) / alpha, and all counts are `support` at least.
+    Entities are base matches (kind, value); entities and terms count once for each distinct text, and no count is too small. With n texts, an entity e in the share
+    p = c(e) / n of them, a term t in c(t) and both in c(e, t), e's share of t's texts is q = (c(e, t) + smooth p) / (c(t) + smooth), and t discloses e if
+    log(q / p) >= log(1 / p) / alpha. An entity in all texts has no information that a term could disclose.
     Terms are lower-cased runs of letters outside the base matches' values.
     """
-    held = spans.select("k", F.xxhash64("kind", F.lower("value")).alias("e")).distinct()
-    often = held.groupBy("e").agg(F.count("*").alias("ce")).where(F.col("ce") >= support)
-    held = written(held.join(often, "e"), "pii-entities")
+    held = written(spans.select("k", F.xxhash64("kind", F.lower("value")).alias("e")).distinct(), "pii-entities")
     if held.isEmpty():
         return spans.select("k", F.col("value").alias("term")).limit(0)
     n = texts.select("k").distinct().count()
+    often = held.groupBy("e").agg(F.count("*").alias("ce")).where(F.col("ce") < n)
     bare = F.col("text")
     for pattern in PATTERNS.values():
         bare = F.regexp_replace(bare, pattern, " ")
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(TERM), F.lit(0)))
+    share = F.col("ce") / F.lit(float(n))
+
+    def tells(ct: Column) -> Column:
+        return F.log((F.col("cet") + F.lit(smooth) * share) / (ct + F.lit(smooth)) / share) >= -F.log(share) / alpha
+
     with_entity = held.select("k").distinct()
     once = texts.join(with_entity, "k", "left_semi").groupBy("k").agg(F.first("text").alias("text"))
     near = written(once.select("k", F.explode(words(bare)).alias("term")), "pii-terms")
-    both = near.join(held, "k").groupBy("e", "term").agg(F.count("*").alias("cet"), F.first("ce").alias("ce")).where(F.col("cet") >= support)
+    both = near.join(held, "k").groupBy("e", "term").agg(F.count("*").alias("cet")).join(often, "e")
     # c(t) >= c(e, t), so what fails even at c(t) = c(e, t) needs no count over the corpus.
-    both = written(both, "pii-pairs")
+    both = written(both.where(tells(F.col("cet"))), "pii-pairs")
     wanted = both.select("term").distinct()
     distinct_texts = texts.groupBy("k").agg(F.first("text").alias("text"))
-    counts = distinct_texts.select(F.explode(words(bare)).alias("term")).groupBy("term").agg(F.count("*").alias("ct")).where(F.col("ct") >= support)
+    counts = distinct_texts.select(F.explode(words(bare)).alias("term")).groupBy("term").agg(F.count("*").alias("ct"))
     counts = counts.join(wanted, "term", "left_semi")
-    total = F.lit(float(n))
-    pmi = F.log(F.col("cet") * total / (F.col("ce") * F.col("ct")))
-    pairs = both.join(counts, "term").where(pmi >= F.log(total / F.col("ce")) / alpha).select("e", "term")
-    return near.join(held.select("k", "e"), "k").join(pairs, ["e", "term"], "left_semi").select("k", "term").distinct()
+    pairs = both.join(counts, "term").where(tells(F.col("ct"))).select("e", "term")
+    return near.join(held, "k").join(pairs, ["e", "term"], "left_semi").select("k", "term").distinct()
 
 
 def term_spans(texts: DataFrame, terms: DataFrame) -> DataFrame:

@@ -109,3 +109,26 @@ def test_disclosing_terms_are_removed(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
     assert "Zorro" not in got[0] and "[email]" in got[0] and "common words" in got[0] and got[10] == docs[4][1]
+
+
+def test_terms_disclose_entities_of_a_single_text(spark):
+    rng = np.random.default_rng(7)
+    docs = [(i, f"letter {i} " + " ".join(f"w{chr(97 + int(x))}" for x in rng.integers(0, 20, 8))) for i in range(300)]
+    docs += [(400, "letter by Quillon wa to quill@rare.example"), (401, "letter wb of the Brask house to b@two.example"), (402, "letter of Brask wc"), (403, "letter by Quillon wa to quill@rare.example")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = pii.keyed(df)
+    got = {(r.k, r.term) for r in pii.disclosing(rows, pii.base_spans(rows)).collect()}
+    text_of = {r.k: r.text for r in rows.collect()}
+    held = {k: set(re.findall(PLAIN["email"].replace("(", "(?:"), t)) for k, t in text_of.items()}
+    terms = {k: set(re.findall("[^\\W\\d_]+", re.sub(PLAIN["email"], " ", t).lower())) for k, t in text_of.items()}
+    n, want = len(text_of), set()
+    for k, entities in held.items():
+        for e in entities:
+            p = sum(e in x for x in held.values()) / n
+            for t in terms[k]:
+                ct, cet = sum(t in x for x in terms.values()), sum(t in terms[o] and e in held[o] for o in terms)
+                if (cet + 0.5 * p) / (ct + 0.5) / p >= (1 / p) ** (1 / 1.1):
+                    want.add((k, t))
+    assert got == want
+    out = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert "Quillon" not in out[400] and "letter" in out[400] and " wa " in out[400] and "Brask" in out[401] and "house" not in out[401] and out[402] == docs[-2][1]

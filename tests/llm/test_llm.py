@@ -63,6 +63,20 @@ def test_repeated_passages(spark):
     assert by[7] == by[8] == [(0, 72)] and not by[4] and not by[5] and not by[6]
 
 
+def test_passages_that_fail_against_their_hub_are_found(spark, monkeypatch):
+    line, near = text(0, 7).split(), text(20, 34).split()
+    fill = lambda d: [f"fill{d}x{i}" for i in range(60)]
+    exact, edited = line + near, [*line, *near[:30], "changed", *near[31:]]
+    docs = [(0, fill(0) + line + fill(10)), (1, fill(1) + exact + fill(11)), (2, fill(2) + exact + fill(12)), (3, fill(3) + line + fill(13)), (4, fill(4) + edited + fill(14))]
+    # All windows have the same signatures, as if the shared line's shingle were the smallest in all functions; doc 0 is the hub.
+    at = lambda s, width, hashes: [np.array(x) for x in ([1], [62], [20], [60])]
+    monkeypatch.setattr(passages, "windows_of", at)
+    hits = lambda docs: {(r.doc_id, r.start_word, r.end_word, r.class_id) for r in passages.repeated_passages(spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string")).collect()}
+    got = hits(docs)
+    assert {d for d, *_ in got} == {1, 2, 4} and len({c for *_, c in got}) == 1
+    assert all(a <= 60 and b >= 60 + len(exact) for d, a, b, _ in got if d in (1, 2))
+
+
 def test_near_duplicates(spark):
     docs = [(1, text(0, 40)), (2, text(0, 40) + " tail"), (3, text(0, 40)), (4, text(41, 60)), (5, None), (6, ""), (7, text(0, 20))]
     got = {r.doc_id: (r.class_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}

@@ -77,6 +77,30 @@ def test_passages_that_fail_against_their_hub_are_found(spark, monkeypatch):
     assert all(a <= 60 and b >= 60 + len(exact) for d, a, b, _ in got if d in (1, 2))
 
 
+@pytest.mark.parametrize("n", [50, 52, 54, 60])
+def test_single_edits_at_all_places_equal_brute_force(n):
+    width = passages.WORDS - passages.SHINGLE + 1
+    rng = np.random.default_rng(n)
+    for at in range(n):
+        words = rng.integers(0, 1 << 60, n).astype(np.uint64)
+        other = words.copy()
+        other[at] += np.uint64(1)
+        pad = lambda w: np.concatenate((rng.integers(0, 1 << 60, 30).astype(np.uint64), w, rng.integers(0, 1 << 60, 30).astype(np.uint64)))
+        for x, y in ((words, other), (pad(words), pad(other))):
+            a, b = passages.shingles(x), passages.shingles(y)
+            best = max(len(set(a[i : i + width]) & set(b[i : i + width])) for i in range(len(a) - width + 1))
+            want = best >= 0.8 * (2 * width - best)
+            shared = np.flatnonzero(a == b)
+            for c in (int(shared[0]), int(shared[len(shared) // 2]), int(shared[-1])):
+                hit = passages.agree(a, c, b, c, width, 0.8)
+                assert (hit is not None) == want, (at, c)
+                if hit:
+                    i, j, k, m = hit
+                    assert min(j - i, m - k) + 1 >= width and 0 <= i and j < len(a) and 0 <= k and m < len(b)
+                    both = len(set(a[i : j + 1]) & set(b[k : m + 1]))
+                    assert both >= 0.8 * (j - i + m - k + 2 - both)
+
+
 def test_near_duplicates(spark):
     docs = [(1, text(0, 40)), (2, text(0, 40) + " tail"), (3, text(0, 40)), (4, text(41, 60)), (5, None), (6, ""), (7, text(0, 20))]
     got = {r.doc_id: (r.class_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}

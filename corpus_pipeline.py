@@ -31,12 +31,13 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the Pfair schedule: partitions and the rows in them follow each other."""
-    return mixing.mix(docs).select(*docs.columns)
+    """All documents with their position in the Pfair schedule; partitions and the rows in them follow each other in that order."""
+    return mixing.mix(docs).select(*docs.columns, "position")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.shard(docs, SHARDS)
+    """Shards of nearly equal bytes, each in the order of the schedule."""
+    return sharding.shard(docs, SHARDS, order="position")
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("mix", mix), ("shard", shard)]

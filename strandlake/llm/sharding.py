@@ -120,14 +120,15 @@ def kd_leaves(parts: DataFrame, dims: list[str], shards: int) -> Column:
     return named(0)
 
 
-def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, order: str | None = None) -> DataFrame:
     """Deal all rows out to `shards` shards of nearly equal bytes (law `bytes`).
 
     Returns doc_id, size, text_crc32, law, shard, slot, grown_shard (null: the law is not `key`).
     A row's size is its text's UTF-8 bytes (null: none) plus 1. Metadata dimensions: size (its logarithm), the smallest
     doc_id, source and lang of the rows with the same text, the last two hashed. Rows with equal texts stay together,
     null texts too; only a group heavier than a whole shard is dealt out in parts, by a hash of doc_id.
-    slot numbers each shard's rows without gaps. An empty table gives an empty result, null doc_ids are kept,
+    slot numbers each shard's rows without gaps, in the order of the column `order` (whole numbers from 0 on, none null, near gapless over all rows) if it is named.
+    An empty table gives an empty result, null doc_ids are kept,
     repeated rows are rows. Other columns of docs are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -135,6 +136,7 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
             F.xxhash64(F.col("text").isNull(), text).alias("g"), F.crc32(F.coalesce(F.col("source"), F.lit(""))).alias("src"), F.crc32(F.coalesce(F.col("lang"), F.lit(""))).alias("lng"),
+            *([F.col(order).cast("long").alias("_at")] if order else []),
         ),
         "shard-rows",
     )
@@ -158,9 +160,13 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     at = parts.withColumn("shard", kd_leaves(parts, dims, shards))
     at = at.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "shard"))), lambda x: x["shard"]).alias("at"))
     cond = (F.col("g") == F.col("_g")) & (F.col("text_crc32") == F.col("_text_crc32")) & (F.col("size") == F.col("_size"))
-    dealt = rows.join(at, cond).select("doc_id", "size", "text_crc32", F.col("at")[F.pmod(F.xxhash64("doc_id"), F.size("at")).cast("int")].alias("shard"))
+    dealt = rows.join(at, cond).select("doc_id", "size", "text_crc32", *(["_at"] if order else []), F.col("at")[F.pmod(F.xxhash64("doc_id"), F.size("at")).cast("int")].alias("shard"))
     dealt = written(dealt, "shard-dealt")
     n = buckets_for(dealt.count(), shards)
-    dealt = dealt.withColumn("_b", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n)))
-    out = numbered(dealt, ["shard"], "_b", [F.col("doc_id"), F.col("text_crc32")], "slot")
+    if order:
+        last = dealt.agg(F.max("_at")).first()[0]
+        dealt = dealt.withColumn("_b", F.expr(f"_at div {last // n + 1}"))
+    else:
+        dealt = dealt.withColumn("_b", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n)))
+    out = numbered(dealt, ["shard"], "_b", [F.col("_at")] if order else [F.col("doc_id"), F.col("text_crc32")], "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -151,3 +151,18 @@ def test_pipeline_on_planted_documents(spark, tmp_path):
     assert sorted(r.doc_id for r in got) == sorted(d for d, *_ in docs)
     for shard in {r.shard for r in got}:
         assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
+
+
+def test_pipeline_shards_follow_the_mixing_schedule(spark, tmp_path):
+    docs = [(i, sentence("aa" if i % 2 else "bb", ("m", i), 60) + f" {i}", "aa" if i % 2 else "bb", "hot" if i % 5 else "rare") for i in range(160)]
+    folder = str(tmp_path / "sf")
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    df.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, folder).collect()
+    assert len(got) > 100
+    kept = df.where(df.doc_id.isin([r.doc_id for r in got]))
+    position = {r.doc_id: r.position for r in mixing.mix(kept).collect()}
+    for shard in range(corpus_pipeline.SHARDS):
+        rows = sorted((r.slot, position[r.doc_id]) for r in got if r.shard == shard)
+        assert [s for s, _ in rows] == list(range(len(rows))) and [p for _, p in rows] == sorted(p for _, p in rows)

@@ -101,6 +101,10 @@ def test_single_edits_at_all_places_equal_brute_force(n):
                     assert both >= 0.8 * (j - i + m - k + 2 - both)
 
 
+def test_a_passage_at_the_threshold_shares_a_signature():
+    assert (1 - passages.THRESHOLD) ** passages.HASHES < 1e-4
+
+
 def test_near_duplicates(spark):
     docs = [(1, text(0, 40)), (2, text(0, 40) + " tail"), (3, text(0, 40)), (4, text(41, 60)), (5, None), (6, ""), (7, text(0, 20))]
     got = {r.doc_id: (r.class_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}

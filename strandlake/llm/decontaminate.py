@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.llm.runtime import written
+
 #: Edits allowed for each character of an item.
 ERROR_RATE = 0.06
 #: UTF-8 bytes of the items that one pass over the documents looks for; more items take more passes.
@@ -102,17 +104,18 @@ class Finder:
 
 
 def _passes(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """Lists of about PASS_BYTES of items with different normal texts in a list; of equal ones the smallest item_id stays."""
-    kept = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = kept.agg(F.sum(F.octet_length("text") + 1)).first()[0]
+    """Lists of about PASS_BYTES of items with different normal texts; of equal ones the smallest item_id stays, whatever the number of passes."""
+
+    def normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([normal(t.as_py()) for t in batch.column(1)], pa.string())], names=["item_id", "p"])
+
+    named = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    kept = written(named.mapInArrow(normalised, "item_id long, p string").where("p <> ''").groupBy("p").agg(F.min("item_id").alias("item_id")), "bd-items")
+    size = kept.agg(F.sum(F.octet_length("p") + 1)).first()[0]
     n = -(-(size or 0) // PASS_BYTES)
-    key = F.lower(F.regexp_replace("text", r"[^\p{L}\p{N}]+", " "))
     for i in range(n):
-        found: dict[str, int] = {}
-        for r in kept.where(F.pmod(F.xxhash64(key), F.lit(n)) == i).collect():  # bounded by PASS_BYTES, on average
-            if p := normal(r["text"]):
-                found[p] = min(found.get(p, r["item_id"]), r["item_id"])
-        yield sorted((i, p) for p, i in found.items())
+        yield sorted((r["item_id"], r["p"]) for r in kept.where(F.pmod(F.xxhash64("p"), F.lit(n)) == i).collect())  # bounded by PASS_BYTES, on average
 
 
 def matches(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFrame:

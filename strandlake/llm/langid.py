@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 #: Hash bins of the features.
 BINS = 4096
@@ -28,7 +29,8 @@ def _letters() -> np.ndarray:
 
 
 def _codes(text: str, letters: np.ndarray) -> np.ndarray:
-    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    """The code points of a lower-cased text, a space for each that is no letter."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     if (far := c > 0xFFFF).any():
         c = c.copy()
         c[far] = [x if chr(x).isalpha() else 32 for x in c[far]]
@@ -56,22 +58,29 @@ def features(texts: list[str | None], letters: np.ndarray) -> Iterator[np.ndarra
     def counted() -> np.ndarray:
         return _counts(np.concatenate(block), np.repeat(np.arange(len(block)), [len(x) for x in block]), len(block))
 
+    edge = np.full(1, 32, dtype=np.uint32)
     for text in texts:
-        text = text or ""
+        text = (text or "").lower()  # before it is cut: that can change its length
         if len(text) > CHARS:
             if block:
                 yield counted()
                 block, held = [], 0
             total = np.zeros((1, BINS), dtype=np.int64)
             for i in range(0, len(text), CHARS):  # n-grams across a border count with the piece in which they start
-                c = _codes(text[i : i + CHARS + 2], letters)
+                c, last = _codes(text[i : i + CHARS + 2], letters), i + CHARS >= len(text)
+                if i + CHARS + 2 > len(text):
+                    c = np.concatenate((c, edge))
+                own = CHARS
+                if i == 0:
+                    c, own = np.concatenate((edge, c)), own + 1
+                c = c if last else c[: own + 2]
                 total += _counts(c, np.zeros(len(c), dtype=np.int64), 1)
-                if i + CHARS < len(text):
-                    tail = c[CHARS:]
+                if not last:
+                    tail = c[own:]
                     total -= _counts(tail, np.zeros(len(tail), dtype=np.int64), 1)
             yield total
             continue
-        block.append(np.concatenate(([np.uint32(32)], _codes(text, letters), [np.uint32(32)])))
+        block.append(np.concatenate((edge, _codes(text, letters), edge)))
         held += len(text)
         if held >= CHARS:
             yield counted()
@@ -163,13 +172,13 @@ def train(docs: DataFrame, usable: Column, max_rows: int = MAX_TRAIN_ROWS) -> Mo
     return Model(langs, x, np.array([langs.index(r["lang"]) for r in rows]))
 
 
-def identify(docs: DataFrame, model: Model | None, margin: float = MARGIN) -> DataFrame:
-    """Add lang_pred, score and ambiguous to docs by their whole texts; other columns stay.
+def identify(docs: DataFrame, model: Model | None, margin: float = MARGIN, names: Sequence[str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """Add lang_pred, score and ambiguous (under these names) to docs by their whole texts; other columns stay, those of the same names are replaced.
 
     lang_pred is a learned language, or `und` with score 0 where text is null or has no letter, or nothing was learned.
     score is the share of the nearest codeword among all under the weighted loss; ambiguous: it leads the second by less than margin.
     """
-    kinds = [("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())]
+    docs = docs.select(*[c for c in docs.columns if c not in names])
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = _letters()
@@ -186,7 +195,7 @@ def identify(docs: DataFrame, model: Model | None, margin: float = MARGIN) -> Da
                 scores.append(np.where(none, 0.0, score))
                 unclear.append(none | (lead < margin))
             new = [pa.array(langs, pa.string()), pa.array(np.concatenate(scores or [np.zeros(0)]), pa.float64()), pa.array(np.concatenate(unclear or [np.zeros(0, bool)]), pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *(k for k, _ in kinds)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(predicted, f"{fields}, lang_pred string, score double, ambiguous boolean")
+    kind = StructType([*docs.schema, *(StructField(n, t) for n, t in zip(names, (StringType(), DoubleType(), BooleanType()), strict=True))])
+    return docs.mapInArrow(predicted, kind)

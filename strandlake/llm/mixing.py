@@ -50,7 +50,7 @@ def pfair(slots: Mapping[str, int]) -> list[tuple[str, int, int, int, int]]:
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: float = 0.5, block_bytes: int = BLOCK_BYTES, period: int = PERIOD) -> DataFrame:
-    """Add block, release, deadline, mix_slot and position to all rows of docs (doc_id, text, source; other columns stay).
+    """Add block, release, deadline, mix_slot and position to all rows of docs (doc_id, text, source; other columns stay, those of these names are replaced).
 
     Target weights: as given, or each source's bytes to the power alpha; a source that weights does not name gets the smallest
     weight named. A source's rows, in the order of md5(doc_id), are cut into blocks of block_bytes (text's UTF-8 bytes plus 1 a
@@ -60,11 +60,14 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: floa
     and the rows in them follow position. An empty table stays empty.
     """
     spark = docs.sparkSession
-    sized = docs.withColumn("_src", F.coalesce(F.col("source"), F.lit(""))).withColumn("_size", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long"))
-    sized = sized.withColumn("_u", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("_t", F.crc32("text"))
+    added = ("block", "release", "deadline", "mix_slot", "position")
+    others = [c for c in docs.columns if c not in added]
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
+    unit = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    sized = docs.select(F.struct(*others).alias("_row"), F.col("doc_id"), F.coalesce(F.col("source"), F.lit("")).alias("_src"), size.alias("_size"), unit.alias("_u"), F.crc32("text").alias("_t"))
     sums = {r["_src"]: r for r in sized.groupBy("_src").agg(F.sum("_size").alias("b"), F.count("*").alias("n")).collect()}
     if not sums:
-        return docs.select("*", *[F.lit(0).cast("long").alias(c) for c in ("block", "release", "deadline", "mix_slot", "position")])
+        return docs.select(*others, *[F.lit(0).cast("long").alias(c) for c in added])
     if weights is None:
         aim = {s: float(r["b"]) ** alpha for s, r in sums.items()}
     else:
@@ -86,4 +89,4 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: floa
     blocks = max(1, size // block_bytes)
     per_bucket = max(1, int(ROWS_PER_BUCKET / (rows / blocks)), -(-(blocks + period) * len(sums) // MOST_BUCKETS))
     out = numbered(own.withColumn("_b", F.expr(f"mix_slot div {per_bucket}")), [], "_b", [F.col("mix_slot"), F.col("_start"), F.col("_u"), F.col("doc_id")], "position", ranged=True)
-    return out.select(*docs.columns, "block", "release", "deadline", "mix_slot", "position")
+    return out.select("_row.*", *added)

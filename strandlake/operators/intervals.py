@@ -1,41 +1,110 @@
-"""Half-open intervals (group, beg, end): union, overlap join, and N-quantiles of lengths."""
+"""Half-open intervals (group, beg, end): union, overlap joins, clipping, as-of joins, covered and uncovered parts."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandlake.operators.ordered import running
+
+#: Width of the smallest bins, as a power of two.
+LEAST_LEVEL = 6
+
 
-def union(intervals: DataFrame, group: str) -> DataFrame:
-    """(group, beg, end): overlapping and touching intervals of a group merged."""
+def union(intervals: DataFrame, group: str, fuzz: int = 0) -> DataFrame:
+    """(group, beg, end): overlapping and touching intervals of a group merged, and those that lie at most fuzz apart."""
     order = Window.partitionBy(group).orderBy("beg", "end")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = intervals.select(group, "beg", "end").withColumn("_new", F.when(F.col("beg") <= before, 0).otherwise(1))
+    rows = intervals.select(group, "beg", "end").withColumn("_new", F.when(F.col("beg") <= before + fuzz, 0).otherwise(1))
     rows = rows.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return rows.groupBy(group, "_island").agg(F.min("beg").alias("beg"), F.max("end").alias("end")).drop("_island")
 
 
-def overlaps(left: DataFrame, right: DataFrame, group: str, width: int) -> DataFrame:
+def total_size(intervals: DataFrame, group: str) -> DataFrame:
+    """(group, size): the positions that a group's intervals cover."""
+    return union(intervals, group).groupBy(group).agg(F.sum(F.col("end") - F.col("beg")).alias("size"))
+
+
+def _binned(rows: DataFrame, beg: str, end: str, top: int) -> DataFrame:
+    """rows once for each bin that an interval meets at its own level (bins as wide as the interval, one or two of them) and at all wider ones up to top."""
+    own = F.greatest(F.lit(LEAST_LEVEL), F.length(F.bin(F.col(end) - F.col(beg) - 1)))
+    levelled = rows.withColumn(f"_own_{beg}", own).withColumn("_level", F.explode(F.sequence(F.col(f"_own_{beg}"), F.lit(top))))
+    return levelled.withColumn("_bin", F.explode(F.expr(f"sequence(shiftright(cast({beg} as bigint), _level), shiftright(cast({end} as bigint) - 1, _level))")))
+
+
+def overlaps(left: DataFrame, right: DataFrame, group: str) -> DataFrame:
     """Columns of left (group, beg, end, ...) and right (group, rbeg, rend, ...) for pairs that share a position.
 
-    Both sides are cut into bins of `width`; a pair counts in the bin where its later start lies, so it comes once.
+    A pair meets in bins of the wider one's size, where its later start lies, so it comes once; no interval stands in more than two bins of a size.
     """
-    bins = lambda b, e: F.explode(F.sequence(F.expr(f"{b} div {width}"), F.expr(f"({e} - 1) div {width}")))
-    a = left.where("end > beg").withColumn("_bin", bins("beg", "end"))
-    b = right.where("rend > rbeg").withColumn("_bin", bins("rbeg", "rend"))
-    met = a.join(b, [group, "_bin"]).where(f"beg < rend and rbeg < end and greatest(beg, rbeg) div {width} = _bin")
-    return met.drop("_bin")
+    a, b = left.where("end > beg"), right.where("rend > rbeg")
+    widest = [df.agg(F.max(F.col(e) - F.col(s))).first()[0] or 1 for df, s, e in ((a, "beg", "end"), (b, "rbeg", "rend"))]
+    top = max(LEAST_LEVEL, (max(widest) - 1).bit_length())
+    met = _binned(a, "beg", "end", top).join(_binned(b, "rbeg", "rend", top), [group, "_level", "_bin"])
+    met = met.where("_level = greatest(_own_beg, _own_rbeg) and beg < rend and rbeg < end and shiftright(cast(greatest(beg, rbeg) as bigint), _level) = _bin")
+    return met.drop("_level", "_bin", "_own_beg", "_own_rbeg")
+
+
+def touching(rows: DataFrame, wanted: DataFrame, group: str, key: list[str]) -> DataFrame:
+    """The rows (group, beg, end, key, ...) that share a position with any of wanted (group, beg, end); key names a row."""
+    other = wanted.select(group, F.col("beg").alias("rbeg"), F.col("end").alias("rend"))
+    hit = overlaps(rows.select(group, "beg", "end", *key), other, group).select(*key).distinct()
+    return rows.join(hit, key, "left_semi")
+
+
+def clipped(rows: DataFrame, windows: DataFrame, group: str) -> DataFrame:
+    """Pairs of rows (group, beg, end, ...) and windows (group, rbeg, rend, ...) with from and to, the row cut to the window, and open_left, open_right where something was cut off."""
+    cut = overlaps(rows, windows, group)
+    return cut.withColumns({"from": F.greatest("beg", "rbeg"), "to": F.least("end", "rend"), "open_left": F.col("beg") < F.col("rbeg"), "open_right": F.col("end") > F.col("rend")})
+
+
+def containing(points: DataFrame, intervals: DataFrame, group: str, at: str) -> DataFrame:
+    """points (group, at, ...) with the columns of the interval (group, rbeg, rend, ...) that holds them; points in none drop out."""
+    own = points.withColumn("beg", F.col(at)).withColumn("end", F.col(at) + 1)
+    return overlaps(own, intervals, group).drop("beg", "end")
+
+
+def latest(points: DataFrame, marks: DataFrame, group: str, at: str, mark: str) -> DataFrame:
+    """points (group, at, ...) with `mark`: the greatest mark of marks (group, mark) that is no later than at, or null (as-of join)."""
+    both = points.withColumn("_m", F.lit(None).cast("long")).withColumn("_t", F.col(at).cast("long")).withColumn("_p", F.lit(1))
+    own = marks.select(group, F.col(mark).cast("long").alias("_m"), F.col(mark).cast("long").alias("_t"), F.lit(0).alias("_p"))
+    seen = F.last("_m", ignorenulls=True).over(Window.partitionBy(group).orderBy("_t", "_p").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return both.unionByName(own, allowMissingColumns=True).withColumn(mark, seen).where("_p = 1").drop("_m", "_t", "_p")
+
+
+def uncovered(intervals: DataFrame, lengths: DataFrame, group: str) -> DataFrame:
+    """(group, beg, end): what the intervals leave of 0..clen of each row of lengths (group, clen); a group without intervals is left whole."""
+    own = union(intervals, group)
+    ends = lengths.select(group, F.col("clen").alias("beg"), F.col("clen").alias("end"))
+    rows = own.unionByName(ends).withColumn("_last", F.coalesce(F.max("end").over(Window.partitionBy(group).orderBy("beg", "end").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    free = rows.join(lengths.select(group, "clen"), group).select(group, F.col("_last").alias("beg"), F.least("beg", "clen").alias("end"))
+    return free.where("end > beg")
+
+
+def annotation_totals(intervals: DataFrame, lengths: DataFrame, group: str) -> DataFrame:
+    """One row: n, span, covered, blocks, uncovered, gaps (uncovered blocks), spill (covered positions beyond clen), overlap_permille ((span - covered) / span)
+    and the numbers of oriented, labelled, scored and parsed intervals (group, beg, end, orient, label, score, parsed)."""
+    blocks = union(intervals, group)
+    inside = blocks.join(lengths.select(group, "clen"), group)
+    size = F.col("end") - F.col("beg")
+    count = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    own = intervals.agg(F.count("*").alias("n"), zero(size).alias("span"), count(F.col("orient") == 1).alias("oriented"), count(F.col("label").isNotNull()).alias("labelled"), count(F.col("score") > 0).alias("scored"), count(F.col("parsed")).alias("parsed"))
+    covered = inside.agg(zero(size).alias("covered"), F.count("*").alias("blocks"), zero(F.greatest(F.lit(0), F.col("end") - F.greatest("clen", "beg"))).alias("spill"))
+    free = uncovered(intervals, lengths, group).agg(zero(size).alias("uncovered"), F.count("*").alias("gaps"))
+    return reduce(lambda a, b: a.join(F.broadcast(b)), (own, covered, free)).withColumn("overlap_permille", F.expr("if(span = 0, 0, (span - covered) * 1000 div span)"))
 
 
 def length_quantiles(lengths: DataFrame, percents: list[int]) -> DataFrame:
     """(percent, length): the largest length such that pieces of it or longer hold percent of the sum. lengths: (len long).
 
-    Lengths are summed by value before they are ordered, so what one window sorts is the number of different lengths.
+    Lengths are summed by value before they are put in order, bin by bin.
     """
     by = lengths.where("len is not null").groupBy("len").agg((F.count("*") * F.col("len")).alias("w"))
     whole = by.agg(F.sum("w").alias("total"))
-    run = F.sum("w").over(Window.orderBy(F.desc("len")))
     asked = F.explode(F.array(*[F.lit(p) for p in percents])).alias("percent")
-    upto = by.withColumn("upto", run).join(F.broadcast(whole)).select("len", "upto", "total", asked)
+    upto = running(by, "len", "w", "upto", descending=True).join(F.broadcast(whole)).select("len", "upto", "total", asked)
     return upto.where("upto * 100 >= total * percent").groupBy("percent").agg(F.max("len").alias("length"))

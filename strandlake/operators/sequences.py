@@ -1,34 +1,163 @@
-"""Sequences as DataFrames: contigs between runs of N, complements, base counts, k-mers and exact seeds with a frequency cap."""
+"""Sequences as DataFrames: contigs between runs of N, masks, complements, base counts, packing, pieces, coordinate maps."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Positions of a piece of a sequence.
-PIECE = 256
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_BASES = ("acgt" * 7)[:26]
 
 
 def dna(text: Column) -> Column:
     """The letters a to z of a text as bases, a deterministic bridge from prose to sequence."""
-    return F.translate(F.regexp_replace(F.lower(text), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", ("acgt" * 7)[:26])
+    return F.translate(F.regexp_replace(F.lower(text), "[^a-z]", ""), _LETTERS, _BASES)
+
+
+def gapped_dna(text: Column) -> Column:
+    """The letters of a text as bases in their own case, and each full stop as an N."""
+    return F.translate(F.regexp_replace(text, "[^A-Za-z.]", ""), _LETTERS + _LETTERS.upper() + ".", _BASES + _BASES.upper() + "N")
 
 
 def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(seq, "acgtACGT", "tgcaTGCA"))
 
 
-def contigs(scaffolds: DataFrame) -> DataFrame:
-    """(scaf, ctg, sbeg, clen, seq) of scaffolds (scaf, seq): the runs of a, c, g, t in either case; ctg counts from 0 in each scaffold."""
-    base, gap = "[acgtACGT]+", "[^acgtACGT]+"
-    runs = F.regexp_extract_all("seq", F.lit(base), F.lit(0))
-    # What lies before each run; a leading empty piece stands for a scaffold that starts with a base.
-    gaps = F.split("seq", base, -1)
-    found = scaffolds.select("scaf", runs.alias("runs"), F.transform(gaps, F.length).alias("gaps")).where(F.size("runs") > 0)
-    sizes = F.transform("runs", F.length)
-    start = lambda i: F.aggregate(F.slice("gaps", F.lit(1), i + 1), F.lit(0), lambda a, x: a + x) + F.aggregate(F.slice("sizes", F.lit(1), i), F.lit(0), lambda a, x: a + x)
-    one = found.withColumn("sizes", sizes).select("scaf", F.explode(F.transform("runs", lambda r, i: F.struct(i.alias("ctg"), start(i).cast("long").alias("sbeg"), F.length(r).cast("long").alias("clen"), r.alias("seq")))).alias("c"))
-    return one.select("scaf", "c.*")
+def numeric(seq: Column) -> Column:
+    """The bases as digits: a 0, c 1, g 2, t 3."""
+    return F.translate(F.lower(seq), "acgt", "0123")
+
+
+def from_numeric(digits: Column) -> Column:
+    return F.translate(digits, "0123", "acgt")
+
+
+def piece(seq: Column, beg: Column, end: Column) -> Column:
+    """The bases from beg to end (exclusive) of an ASCII sequence, at a cost that does not grow with beg."""
+    return F.substring(seq.cast("binary"), beg.cast("int") + 1, (end - beg).cast("int")).cast("string")
+
+
+def _mapped(df: DataFrame, keep: list[str], kind: str, make) -> DataFrame:
+    """For each row of df its columns `keep`, and the columns of `kind` of each row that make(seq) yields."""
+    fields = {f.name: f.dataType.simpleString() for f in df.schema}
+    names = [x.split()[0] for x in kind.split(", ")]
+    types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    arrow = [types[x.split()[1]] for x in kind.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seqs = batch.column(len(keep))
+            for row in range(len(batch)):
+                made = make(seqs[row].as_py())
+                size = len(made[0])
+                if size:
+                    own = [batch.column(i).take(pa.array(np.full(size, row))) for i in range(len(keep))]
+                    yield pa.RecordBatch.from_arrays([*own, *(pa.array(x, t) for x, t in zip(made, arrow, strict=True))], names=[*keep, *names])
+
+    schema = ", ".join([*(f"`{k}` {fields[k]}" for k in keep), kind])
+    return df.where("seq is not null").select(*keep, "seq").mapInArrow(run, schema)
+
+
+def contigs(scaffolds: DataFrame, min_gap: int = 0) -> DataFrame:
+    """(scaf, ctg, sbeg, clen, seq) of scaffolds (scaf, seq): what lies between runs of other characters than a, c, g, t in either case; ctg counts from 0 in each scaffold.
+
+    A run of fewer than min_gap characters is no gap: it becomes as many a's. Null sequences and those without bases have no contigs.
+    """
+    gap = re.compile("[^acgtACGT]+")
+
+    def make(seq: str) -> tuple:
+        if min_gap > 1:
+            seq = gap.sub(lambda m: "a" * len(m[0]) if len(m[0]) < min_gap else m[0], seq)
+        runs = [(m.start(), m[0]) for m in re.finditer("[acgtACGT]+", seq)]
+        return range(len(runs)), [s for s, _ in runs], [len(r) for _, r in runs], [r for _, r in runs]
+
+    return _mapped(scaffolds, ["scaf"], "ctg int, sbeg long, clen long, seq string", make)
+
+
+def masks(seqs: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, beg, end): the lower-case runs of the sequences that hold an upper-case base too."""
+
+    def make(seq: str) -> tuple:
+        runs = [m.span() for m in re.finditer("[a-z]+", seq)] if re.search("[A-Z]", seq) else []
+        return [b for b, _ in runs], [e for _, e in runs]
+
+    return _mapped(seqs, keep, "beg long, end long", make)
+
+
+def soft_masked(seqs: DataFrame, mask: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, seq): upper-case sequences (keep, seq) with the intervals of mask (keep, beg, end) in lower case; overlaps do no harm."""
+    own = mask.groupBy(*keep).agg(F.collect_list(F.struct(F.col("beg").cast("long").alias("beg"), F.col("end").cast("long").alias("end"))).alias("_m"))  # one sequence's own
+    both = seqs.join(own, keep, "left").select(*keep, "seq", "_m")
+    schema = both.select(*keep, "seq").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for seq, spans in zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist(), strict=True):
+                if seq is None:
+                    out.append(None)
+                    continue
+                letters = np.frombuffer(seq.upper().encode("ascii"), dtype=np.uint8).copy()
+                for x in spans or ():
+                    letters[x["beg"] : x["end"]] |= 32
+                out.append(letters.tobytes().decode("ascii"))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.string())], names=[*keep, "seq"])
+
+    return both.mapInArrow(run, schema)
+
+
+def pack(seq: str | None) -> bytes | None:
+    """Four bases a byte, the first one in the highest bits; the last byte is filled with a's."""
+    if seq is None:
+        return None
+    code = codes(seq)
+    code = np.concatenate((code, np.zeros(-len(code) % 4, dtype=np.uint8))).reshape(-1, 4)
+    return (code[:, 0] << 6 | code[:, 1] << 4 | code[:, 2] << 2 | code[:, 3]).tobytes()
+
+
+def unpack(data: bytes | None, size: int | None) -> str | None:
+    """The first `size` bases of what pack made."""
+    if data is None or size is None:
+        return None
+    b = np.frombuffer(data, dtype=np.uint8)
+    four = np.stack((b >> 6, b >> 4 & 3, b >> 2 & 3, b & 3), axis=1).ravel()[:size]
+    return np.frombuffer(b"acgt", dtype=np.uint8)[four].tobytes().decode("ascii")
+
+
+def packed(seqs: DataFrame, key: str) -> DataFrame:
+    """(key, len, bits): sequences in two bits a base, for storage."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if s is None else len(s) for s in own], pa.int64()), pa.array([pack(s) for s in own], pa.binary())], names=[key, "len", "bits"])
+
+    return seqs.select(key, "seq").mapInArrow(run, f"`{key}` {seqs.schema[key].dataType.simpleString()}, len long, bits binary")
+
+
+def unpacked(rows: DataFrame, key: str) -> DataFrame:
+    """(key, seq) of what `packed` returns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([unpack(b, n) for n, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)], pa.string())], names=[key, "seq"])
+
+    return rows.select(key, "len", "bits").mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, seq string")
+
+
+_CODE = np.zeros(256, dtype=np.uint8)
+for _i, _b in enumerate("acgt"):
+    _CODE[[ord(_b), ord(_b.upper())]] = _i
+
+
+def codes(seq: str) -> np.ndarray:
+    """0 to 3 for a, c, g, t in either case, 0 for all else."""
+    return _CODE[np.frombuffer(seq.encode("ascii", "replace"), dtype=np.uint8)]
 
 
 def base_counts(seqs: DataFrame, key: str) -> DataFrame:
@@ -37,26 +166,16 @@ def base_counts(seqs: DataFrame, key: str) -> DataFrame:
     return seqs.select(key, F.length("seq").cast("long").alias("len"), *[(F.length("seq") - F.length(F.replace(low, F.lit(b), F.lit("")))).cast("long").alias(b) for b in "acgt"])
 
 
-def kmers(seqs: DataFrame, key: str, k: int) -> DataFrame:
-    """(key, pos, kmer) of all k-mers of seq.
-
-    A sequence is cut into pieces of PIECE positions first: the cost of a substring grows with its place in the string.
-    """
-    cut = seqs.where(F.length("seq") >= k).select(key, "seq", F.explode(F.sequence(F.lit(0), F.expr(f"cast((length(seq) - {k}) div {PIECE} as int)"))).alias("part"))
-    piece = F.substring("seq", F.col("part") * PIECE + 1, F.lit(PIECE + k - 1))
-    cut = cut.select(key, "part", piece.alias("piece"))
-    at = cut.select(key, "part", "piece", F.explode(F.sequence(F.lit(0), F.length("piece") - k)).alias("i"))
-    return at.select(key, (F.col("part").cast("long") * PIECE + F.col("i")).alias("pos"), F.substring("piece", F.col("i") + 1, F.lit(k)).alias("kmer"))
+def to_scaffold(pos: Column, sbeg: Column, clen: Column, comp: Column) -> Column:
+    """A position of a contig (of its complement, if comp) in the contig's scaffold."""
+    return F.when(comp, sbeg + clen - pos).otherwise(sbeg + pos)
 
 
-def kmer_histogram(seqs: DataFrame, key: str, k: int) -> DataFrame:
-    """(count, kmers): how many different k-mers occur how often."""
-    return kmers(seqs, key, k).groupBy("kmer").agg(F.count("*").alias("count")).groupBy("count").agg(F.count("*").alias("kmers"))
+def to_contig(pos: Column, sbeg: Column, clen: Column, comp: Column) -> Column:
+    """The inverse of to_scaffold."""
+    return F.when(comp, sbeg + clen - pos).otherwise(pos - sbeg)
 
 
-def exact_seeds(a: DataFrame, b: DataFrame, k: int, cap: int) -> DataFrame:
-    """(akey, apos, bkey, bpos) of the k-mers that a (akey, seq) and b (bkey, seq) share, without those that occur cap times or more in b."""
-    index = kmers(b, "bkey", k).select("bkey", F.col("pos").alias("bpos"), "kmer")
-    rare = index.groupBy("kmer").agg(F.count("*").alias("n")).where(F.col("n") < cap).select("kmer")
-    asked = kmers(a, "akey", k).select("akey", F.col("pos").alias("apos"), "kmer")
-    return asked.join(rare, "kmer", "left_semi").join(index, "kmer").select("akey", "apos", "bkey", "bpos")
+def complement_position(pos: Column, sbeg: Column, clen: Column, slen: Column) -> Column:
+    """A position of a contig's complement, counted along the complement of the whole scaffold."""
+    return slen - (sbeg + clen - pos)

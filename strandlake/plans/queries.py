@@ -1,79 +1,18 @@
-"""Queries over the driver's tables, each with its SQL."""
+"""All queries over the driver's tables, each with its SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from strandlake.operators import intervals, sequences
-
-_DNA = "translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'acgtacgtacgtacgtacgtacgtac')"
-_EVENTS = "SELECT user_id, floor(epoch(ts))::BIGINT AS beg, floor(epoch(ts))::BIGINT + floor(value)::BIGINT + 60 AS \"end\", event_id FROM events"
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _dna(spark: SparkSession, sf_dir: str, name: str, key: str, out: str) -> DataFrame:
-    return _table(spark, sf_dir, name).select(F.col(key).alias(out), sequences.dna(F.col("text")).alias("seq"))
-
-
-def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    beg = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', cast(ts AS TIMESTAMP_NTZ))").cast("long")
-    return _table(spark, sf_dir, "events").select("user_id", beg.alias("beg"), (beg + F.floor("value").cast("long") + 60).alias("end"), "event_id")
-
-
-def reverse_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dna(spark, sf_dir, "documents", "doc_id", "doc_id").select("doc_id", sequences.reverse_complement(F.col("seq")).alias("rc"))
-
-
-def base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences.base_counts(_dna(spark, sf_dir, "documents", "doc_id", "doc_id"), "doc_id")
-
-
-def kmer_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences.kmer_histogram(_dna(spark, sf_dir, "documents", "doc_id", "doc_id"), "doc_id", 12)
-
-
-def exact_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences.exact_seeds(_dna(spark, sf_dir, "benchmark", "item_id", "akey"), _dna(spark, sf_dir, "documents", "doc_id", "bkey"), 40, 10)
-
-
-def interval_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.union(_intervals(spark, sf_dir), "user_id")
-
-
-def interval_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mine = _intervals(spark, sf_dir)
-    other = mine.select("user_id", F.col("beg").alias("rbeg"), F.col("end").alias("rend"), F.col("event_id").alias("other_id"))
-    return intervals.overlaps(mine, other, "user_id", 4096).where("event_id < other_id").select("user_id", "event_id", "other_id", F.expr("least(end, rend) - greatest(beg, rbeg)").alias("shared"))
-
-
-def length_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.length_quantiles(_table(spark, sf_dir, "documents").select(F.col("n_chars").alias("len")), list(range(10, 100, 10)))
+from strandlake.plans import interval_queries, sequence_queries, trace_queries  # noqa: F401
+from strandlake.plans.registry import QUERIES, SQL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (interval_union, reverse_complement, base_counts, kmer_histogram, exact_seeds, interval_overlaps, length_quantiles)}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    seq = f"(SELECT doc_id, {_DNA} AS seq FROM documents)"
-    return {
-        "reverse_complement": f"SELECT doc_id, reverse(translate(seq, 'acgt', 'tgca')) AS rc FROM {seq}",
-        "base_counts": "SELECT doc_id, length(seq) AS len, " + ", ".join(f"length(seq) - length(replace(seq, '{b}', '')) AS {b}" for b in "acgt") + f" FROM {seq}",
-        "kmer_histogram": f'SELECT "count", count(*) AS kmers FROM (SELECT count(*) AS "count" FROM (SELECT substr(seq, i, 12) AS kmer FROM (SELECT seq, unnest(range(1, length(seq) - 10)) AS i FROM {seq} WHERE length(seq) >= 12)) GROUP BY kmer) GROUP BY 1',
-        "exact_seeds": f"""WITH b AS (SELECT doc_id AS bkey, i - 1 AS bpos, substr(seq, i, 40) AS kmer FROM (SELECT doc_id, seq, unnest(range(1, length(seq) - 38)) AS i FROM {seq} WHERE length(seq) >= 40)),
-            a AS (SELECT item_id AS akey, i - 1 AS apos, substr(seq, i, 40) AS kmer FROM (SELECT item_id, seq, unnest(range(1, length(seq) - 38)) AS i FROM (SELECT item_id, {_DNA} AS seq FROM benchmark) WHERE length(seq) >= 40))
-            SELECT akey, apos, bkey, bpos FROM a JOIN b USING (kmer) WHERE kmer IN (SELECT kmer FROM b GROUP BY kmer HAVING count(*) < 10)""",
-        "interval_union": f"""WITH e AS ({_EVENTS}), n AS (SELECT *, CASE WHEN beg <= max("end") OVER (PARTITION BY user_id ORDER BY beg, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM e),
-            g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY beg, "end" ROWS UNBOUNDED PRECEDING) AS island FROM n)
-            SELECT user_id, min(beg) AS beg, max("end") AS "end" FROM g GROUP BY user_id, island""",
-        "interval_overlaps": f"""WITH e AS ({_EVENTS}) SELECT x.user_id, x.event_id, y.event_id AS other_id, least(x."end", y."end") - greatest(x.beg, y.beg) AS shared
-            FROM e x JOIN e y ON x.user_id = y.user_id AND x.event_id < y.event_id AND x.beg < y."end" AND y.beg < x."end" """,
-        "length_quantiles": """WITH o AS (SELECT n_chars AS len, sum(n_chars) OVER (ORDER BY n_chars DESC RANGE UNBOUNDED PRECEDING) AS upto, sum(n_chars) OVER () AS total FROM documents)
-            SELECT percent::INT AS percent, max(len) AS length FROM o, (SELECT unnest(range(10, 100, 10)) AS percent) WHERE upto * 100 >= total * percent GROUP BY percent""",
-    }
+    return dict(SQL)

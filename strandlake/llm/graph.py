@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.runtime import written
+from strandlake.llm.runtime import discard, written
 
 
 def _sum(edges: DataFrame) -> tuple[int, int]:
@@ -17,7 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of all nodes in edges (a, b: long); comp is the smallest node of the component.
 
     Alternating star contraction: each node's neighbours are tied to the smallest one, the larger ones first, then the smaller ones, until no edge
-    changes. A hub's edges are aggregated before they are shuffled and joined, never collected; each step is written to the shared folder.
+    changes. A hub's edges are aggregated before they are shuffled and joined, never collected; each step is written to the shared folder, and deleted once the next one is.
     """
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = _sum(e)
@@ -28,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = written(large.where("a <> b").distinct(), "edges")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        e = written(small.where("a <> b").distinct(), "edges")
+        last, e = e, written(small.where("a <> b").distinct(), "edges")
+        discard(last, large)
         now = _sum(e)
         if now == before:
             break

@@ -16,9 +16,11 @@ MOST_BUCKETS = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one of our own on a local master; on a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir is unset: steps are written to a folder that driver and executors share")
         where = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -41,6 +43,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*steps: DataFrame) -> None:
+    """Delete what written() made, once nothing reads it any more."""
+    for df in steps:
+        spark = df.sparkSession
+        fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            target = fs_path(folder)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -105,14 +105,18 @@ def multiset(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(shingles(word_hashes(text or "")), return_counts=True)
 
 
-def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Sum of the smaller counts over the sum of the larger ones; 0 if both are empty."""
+def common(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """The sum of the smaller counts."""
     if len(a[0]) > len(b[0]):
         a, b = b, a
-    total = int(a[1].sum()) + int(b[1].sum())
-    if not len(a[0]) or not len(b[0]):
-        return 0.0
+    if not len(a[0]):
+        return 0
     at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
     same = b[0][at] == a[0]
-    both = int(np.minimum(a[1][same], b[1][at[same]]).sum())
-    return both / (total - both)
+    return int(np.minimum(a[1][same], b[1][at[same]]).sum())
+
+
+def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Sum of the smaller counts over the sum of the larger ones; 0 if both are empty."""
+    both = common(a, b)
+    return both / (int(a[1].sum()) + int(b[1].sum()) - both) if both else 0.0

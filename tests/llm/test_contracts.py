@@ -33,17 +33,14 @@ def test_language_identification_on_held_out_rows(spark):
     assert {r.lang_pred for r in langid.identify(df, None).collect()} == {"und"}
 
 
-def test_a_long_text_counts_as_the_sum_of_its_pieces(monkeypatch):
-    texts = [sentence("aa", 1, 400), "\U00010400b c" * 50, "", None, "x" * 333]
+@pytest.mark.parametrize("chars", [62, 63, 64, 65])
+def test_a_long_text_counts_as_it_would_in_one_piece(monkeypatch, chars):
+    texts = [sentence("aa", 1, 400), "\U00010400b c" * 50, "", None, "x" * 333, "\u0130" * 64 + " tail", "ab " * 43]
     letters = langid._letters()
-    whole = np.concatenate(list(langid.features(texts, letters)))
     monkeypatch.setattr(langid, "CHARS", 10**9)
+    whole = np.concatenate(list(langid.features(texts, letters)))
+    monkeypatch.setattr(langid, "CHARS", chars)
     assert (np.concatenate(list(langid.features(texts, letters))) == whole).all()
-    monkeypatch.setattr(langid, "CHARS", 64)
-    pieces = np.concatenate(list(langid.features([" " + (t or "") + " " for t in texts], letters)))
-    padded = np.concatenate([langid._counts(c, np.zeros(len(c), dtype=np.int64), 1) for c in (langid._codes(" " + (t or "") + " ", letters) for t in texts)])
-    long = [i for i, t in enumerate(texts) if len(t or "") > 64]
-    assert (pieces[long] == padded[long]).all()
 
 
 def test_codewords_are_apart():
@@ -65,7 +62,7 @@ def test_pfair_keeps_every_window_and_deviates_by_less_than_one_block(slots):
 def test_mixing_equals_a_plain_schedule(spark):
     rng = random.Random(3)
     docs = [(i, "é" * rng.randrange(60), rng.choice(["hot", "hot", "hot", "b", None])) for i in range(400)] + [(None, None, "b"), (7, "again", "hot"), (7, "again", "hot")]
-    df = spark.createDataFrame(docs, "doc_id long, text string, source string").selectExpr("*", "1 as _j", "'x' as position_")
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").selectExpr("*", "777 as _j", "'x' as position_", "'keep' as _size", "1 as block")
     weights, period, block = {"hot": 1.0, "b": 2.0, "": 1.0}, 16, 200
     got = sorted(mixing.mix(df, weights, block_bytes=block, period=period).collect(), key=lambda r: r.position)
     assert [r.position for r in got] == list(range(len(docs)))
@@ -81,6 +78,7 @@ def test_mixing_equals_a_plain_schedule(spark):
             start += len((body or "").encode()) + 1
     want.sort(key=lambda x: x[:2])
     assert [(r.mix_slot, r.doc_id, r.block) for r in got] == [(t, d, b) for t, _, d, b in want]
+    assert {(r._j, r._size, r.position_) for r in got} == {(777, "keep", "x")}
     assert mixing.mix(df.limit(0)).count() == 0
 
 
@@ -153,6 +151,18 @@ def test_pipeline_on_planted_documents(spark, tmp_path):
         assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
 
 
+def test_pipeline_keeps_unique_texts_and_one_row_of_copies(spark, tmp_path):
+    a, b = (sentence("aa", ("u", i), 60) for i in range(2))
+    docs = [(1, a, "aa", "s", 0.5), (5, a, "aa", "s", 0.5), (5, b, "aa", "s", 0.5), (5, b, "aa", "s", 0.5), (None, b + " x", "aa", "s", 0.5), (None, sentence("bb", 9, 60), "bb", "s", 0.5), (None, sentence("bb", 9, 60), "bb", "s", 0.5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, score double").selectExpr("*", "1 as a", "2 as row", "3 as lang_pred")
+    got = corpus_pipeline.near_duplicates(spark, df, "")
+    assert got.columns == df.columns
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == sorted([("1", a), ("5", b), ("None", sentence("bb", 9, 60))])
+    assert corpus_pipeline.language(spark, df, "").columns == df.columns
+    unlearned = df.withColumn("lang", df.lang.substr(0, 0)).where("false").unionByName(df.selectExpr("doc_id", "text", "cast(null as string) as lang", "source", "score", "a", "row", "lang_pred"))
+    assert corpus_pipeline.language(spark, unlearned, "").count() == len(docs)
+
+
 def test_pipeline_shards_follow_the_mixing_schedule(spark, tmp_path):
     docs = [(i, sentence("aa" if i % 2 else "bb", ("m", i), 60) + f" {i}", "aa" if i % 2 else "bb", "hot" if i % 5 else "rare") for i in range(160)]
     folder = str(tmp_path / "sf")

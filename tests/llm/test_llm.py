@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from strandlake.llm import ann, decontaminate, neardup, passages, pii
+from strandlake.llm import ann, decontaminate, neardup, passages, pii, words
 
 PHRASES = [f"word{i} other{i * 7} third{i * 13}" for i in range(60)]
 
@@ -41,6 +41,14 @@ def test_decontamination_finds_edited_items_and_leaves_others(spark):
     assert decontaminate.matches(df, items.limit(0)).count() == 0
 
 
+def test_equal_items_are_one_whatever_the_number_of_passes(spark, monkeypatch):
+    items = spark.createDataFrame([(9, text(0, 10) + " today"), (4, text(0, 10) + " today."), (5, text(20, 30))], "item_id long, text string")
+    df = spark.createDataFrame([(1, text(0, 10) + " today"), (1, text(0, 10) + " today"), (2, text(20, 30))], "doc_id long, text string").selectExpr("*", "1 as item_id", "2 as p")
+    for size in (1 << 20, 8):
+        monkeypatch.setattr(decontaminate, "PASS_BYTES", size)
+        assert sorted((r.doc_id, r.item_id) for r in decontaminate.matches(df, items).collect()) == [(1, 4), (1, 4), (2, 5)]
+
+
 def test_compact_windows_equal_the_recursion():
     rng = np.random.default_rng(1)
     for _ in range(100):
@@ -111,6 +119,41 @@ def test_near_duplicates(spark):
     assert got == {1: (1, True), 2: (1, False), 3: (1, False), 4: (4, True), 5: (5, True), 6: (6, True), 7: (7, True)}
 
 
+@pytest.mark.parametrize("n", [120, 240])
+def test_near_duplicate_classes_equal_brute_force_in_few_pairs(spark, monkeypatch, n):
+    rng = np.random.default_rng(n)
+    base, docs, pairs = rng.integers(0, 3000, 200), [], []
+    for i in range(n):
+        w = base.copy()
+        w[rng.integers(0, 200, int(rng.integers(0, 14)))] = rng.integers(0, 3000)
+        docs.append((i, " ".join(f"w{x}" for x in w)))
+    docs += [(500, None), (501, " "), (None, docs[3][1]), (None, docs[3][1]), (None, "alone " * 9), (7, docs[7][1]), (8, "other text under the same number"), (900, "one two"), (901, "One  TWO")]
+    check = neardup.verify
+    monkeypatch.setattr(neardup, "verify", lambda rows, asked, reps: (pairs.append(asked.count()), check(rows, asked, reps))[1])
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as hub", "'x' as tk")
+    got = {}
+    for r in neardup.near_duplicates(df).collect():
+        got.setdefault((r.doc_id, r.tk), set()).add((r.class_id, r.kept))
+    parent, sets = list(range(len(docs))), [words.multiset(t) for _, t in docs]
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if words.weighted_jaccard(sets[i], sets[j]) >= 0.8:
+                parent[find(i)] = find(j)
+    groups = {}
+    for i, (d, _) in enumerate(docs):
+        groups.setdefault(find(i), []).append(d)
+    want = {(d, min((x for x in g if x is not None), default=None)) for g in groups.values() for d in g}
+    assert {(d, c) for (d, _), found in got.items() for c, _ in found} == want
+    assert sum(kept for found in got.values() for _, kept in found) == len(groups) and sum(pairs) <= 8 * n
+    assert neardup.near_duplicates(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("n", [0, 1, 300])
 def test_nearest_neighbours_equal_brute_force(spark, n):
     x = np.random.default_rng(2).standard_normal((n, 8))

@@ -12,17 +12,36 @@ from strandlake.llm.runtime import table, written
 SHARDS = 16
 
 
+def _free(docs: DataFrame, *names: str) -> list[str]:
+    """names, with underscores in front where docs has such columns."""
+    out = []
+    for name in names:
+        while name in docs.columns:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter (or null) go; so do those whose codewords leave no language ahead (score below one half, and flagged as ambiguous)."""
+    """Documents without a letter (or null) go; so do those whose codewords leave no language ahead (score below one half, and flagged as ambiguous).
+
+    If no row has a language to learn from, only the first rule holds.
+    """
     model = langid.train(docs, F.lit(True))
-    out = langid.identify(docs, model)
-    return out.where("lang_pred <> 'und' and not (ambiguous and score < 0.5)").select(*docs.columns)
+    names = pred, score, ambiguous = _free(docs, "lang_pred", "score", "ambiguous")
+    out = langid.identify(docs, model, names=names)
+    if model is None:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    return out.where((F.col(pred) != langid.UNDETERMINED) & ~(F.col(ambiguous) & (F.col(score) < 0.5))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, that with the smallest doc_id; null doc_ids stay."""
-    gone = neardup.near_duplicates(docs.select("doc_id", "text")).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    """One document of each class of near duplicates stays, that with the smallest (doc_id, hash of the text), nulls last; one of those rows, if it is repeated."""
+    found = neardup.near_duplicates(docs.select("doc_id", "text"))
+    key = lambda tk: [F.xxhash64(F.col("doc_id").cast("long"), tk).alias("a"), F.coalesce(tk, F.lit(0).cast("long")).alias("b")]
+    kept = found.where("kept").select(*key(F.col("tk"))).distinct()
+    rows = docs.select(F.struct("*").alias("row"), *key(F.when(F.col("text").isNotNull(), F.xxhash64(F.col("text").cast("string")))))
+    return rows.join(kept, ["a", "b"], "left_semi").dropDuplicates(["a", "b"]).select("row.*")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,6 +65,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of shard() over the documents of sf_dir, after all stages; each stage is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -1,0 +1 @@
+"""Text formats as tables: FASTA, BED, PAF, PSL and ONEcode, read and written by Spark."""

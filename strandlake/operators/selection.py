@@ -7,7 +7,7 @@ alone is everything. A range is location `-` location or one location, with a `-
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,13 +61,14 @@ class Genome:
 
 @dataclass(frozen=True)
 class Range:
-    """Positions beg to end of a scaffold or, if ctg is given, of a contig (an index into the genome's); orient is 1, -1, or 0 where none is said."""
+    """Positions beg to end of a scaffold or, if ctg is given, of a contig (an index into the genome's); orient is 1, -1, or 0 where none is said; ord is the range's place in the selection."""
 
     scaf: int
     ctg: int | None
     beg: int
     end: int
     orient: int
+    ord: int = 0
 
 
 @dataclass(frozen=True)
@@ -115,25 +116,25 @@ def _split(text: str) -> tuple[str, str | None, int]:
 def parse(genome: Genome, text: str) -> list[Range]:
     """The ranges of a selection, in its order. A second location may leave out what the first one says; a single position is no range."""
     out: list[Range] = []
-    for part in re.split(r"[\s,]+", text.strip()):
-        if not part:
-            continue
-        if part.rstrip("+-") in ("@", "."):
-            orient = {"+": 1, "-": -1}.get(part[-1], 0)
-            out += [Range(s, None, 0, genome.of[s][0].slen, orient) for s in genome.scaffolds] if part[0] == "@" else [Range(c.scaf, c.ctg, 0, c.clen, orient) for c in genome.contigs]
-            continue
-        first, second, orient = _split(part)
-        a = _place(genome, first)
-        if second is None:
-            if a.pos is not None:
-                raise ValueError(f"a single position is no range: {part!r}")
-            out.append(_whole(genome, a, orient))
-            continue
-        b = _place(genome, second if not re.fullmatch(r"\d+(\.\d+)?[kMG]?|#", second) or a.pos is None else f":{second}", a)
-        out += _between(genome, a, b, orient, part)
+    for n, part in enumerate(x for x in re.split(r"[\s,]+", text) if x):
+        out += [replace(r, ord=n) for r in _ranges(genome, part)]
     return out
 
 
+def _ranges(genome: Genome, part: str) -> list[Range]:
+    if part.rstrip("+-") in ("@", "."):
+        orient = {"+": 1, "-": -1}.get(part[-1], 0)
+        return [Range(s, None, 0, genome.of[s][0].slen, orient) for s in genome.scaffolds] if part[0] == "@" else [Range(c.scaf, c.ctg, 0, c.clen, orient) for c in genome.contigs]
+    first, second, orient = _split(part)
+    a = _place(genome, first)
+    if second is None:
+        if a.pos is not None:
+            raise ValueError(f"a single position is no range: {part!r}")
+        return [_whole(genome, a, orient)]
+    b = _place(genome, second if a.pos is None or not re.fullmatch(r"\d+(\.\d+)?[kMG]?|#", second) else f":{second}", a)
+    return _between(genome, a, b, orient, part)
+
+
 def _whole(genome: Genome, p: _Place, orient: int) -> Range:
     return Range(p.scaf, p.ctg, 0, genome.contigs[p.ctg].clen if p.ctg is not None else genome.of[p.scaf][0].slen, orient)
 
@@ -155,14 +156,14 @@ def _between(genome: Genome, a: _Place, b: _Place, orient: int, said: str) -> li
 
 
 def on_contigs(genome: Genome, ranges: list[Range]) -> list[tuple[int, int, int, int, int]]:
-    """(ord, ctg, beg, end, orient) of the parts of contigs in the ranges, in their order; ord counts the ranges."""
+    """(ord, ctg, beg, end, orient) of the parts of contigs in the ranges, in their order."""
     out = []
-    for n, r in enumerate(ranges):
+    for r in ranges:
         for c in genome.of[r.scaf] if r.ctg is None else [genome.contigs[r.ctg]]:
             off = c.sbeg if r.ctg is None else 0
             beg, end = max(0, r.beg - off), min(c.clen, r.end - off)
             if beg < end:
-                out.append((n, c.ctg, beg, end, r.orient))
+                out.append((r.ord, c.ctg, beg, end, r.orient))
     return out
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.plans import interval_queries, sequence_queries, trace_queries  # noqa: F401
+from strandlake.plans import format_queries, interval_queries, sequence_queries, trace_queries  # noqa: F401
 from strandlake.plans.registry import QUERIES, SQL
 
 

@@ -81,7 +81,7 @@ def to_alignments(paf: DataFrame, queries: DataFrame, targets: DataFrame, most_g
     """
     named = records.with_ids(records.with_ids(paf, queries.select(records.short_name(F.col("name")).alias("name"), F.col("scaf").alias("id")), "qname", "ascaf"), targets.select(records.short_name(F.col("name")).alias("name"), F.col("scaf").alias("id")), "tname", "bscaf")
     comp = F.col("strand") == "-"
-    rows = named.select("ascaf", "bscaf", comp.alias("comp"), F.xxhash64(*paf.columns).alias("group"), "qs", F.when(comp, F.col("tlen") - F.col("te")).otherwise(F.col("ts")).alias("b0"), F.col("cg").alias("cigar"))
+    rows = named.select("ascaf", "bscaf", comp.alias("comp"), F.xxhash64(*paf.columns).alias("group"), "qs", F.when(comp, F.col("tlen") - F.col("te")).otherwise(F.col("ts")).alias("b0"), F.when(comp, cigar.turned(F.col("cg"))).otherwise(F.col("cg")).alias("cigar"))
 
     def make(text: str, a: int, b: int) -> list[dict]:
         out = []

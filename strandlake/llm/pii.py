@@ -59,18 +59,30 @@ def _located(found: DataFrame, keys: list[str]) -> DataFrame:
     return one.select(*keys, (end - size).alias("start"), end.alias("end"), "value")
 
 
-def base_spans(texts: DataFrame) -> DataFrame:
-    """(k, kind, start, end, value) of all base matches in the texts (k, text); k is the text's md5, equal texts count once."""
+def _as_long_as(n: int):
+    return lambda x: F.length(x) >= n
+
+
+def found_in(texts: DataFrame) -> DataFrame:
+    """(k, text, x) of the texts (k, text) that may hold a base match, equal texts once; x: kind, gaps (lengths of what lies between the raw matches) and hits. Kinds whose raw matches are all too short are left out."""
     needs = {"email": F.contains("text", F.lit("@")), "phone": F.contains("text", F.lit("+")), "ip": F.contains("text", F.lit(".")), "card": F.lit(True)}
-    every = []
-    for kind, pattern in PATTERNS.items():
-        hits = F.when(needs[kind], F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
-        every.append(hits.alias(kind))
+    least = {"email": 1, "ip": 7, "card": 14, "phone": 11}
+    every = [F.when(needs[kind], F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias(kind) for kind, pattern in PATTERNS.items()]
     found = texts.select("k", "text", *every)
-    lists = [F.struct(F.lit(kind).alias("kind"), F.when(F.size(kind) > 0, F.split("text", PATTERNS[kind], -1)).alias("gaps"), F.col(kind).alias("hits")) for kind in KINDS]
-    found = found.select("k", F.filter(F.array(*lists), lambda x: F.size(x["hits"]) > 0).alias("x")).where(F.size("x") > 0)
-    found = found.select("k", F.transform("x", lambda x: F.struct(x["kind"].alias("kind"), F.transform(F.slice(x["gaps"], F.lit(1), F.size(x["hits"])), F.length).alias("gaps"), x["hits"].alias("hits"))).alias("x"))
-    found = found.groupBy("k").agg(F.first("x").alias("x")).select("k", F.explode("x").alias("x")).select("k", "x.*")
+    lists = [F.struct(F.lit(kind).alias("kind"), F.when(F.exists(kind, _as_long_as(least[kind])), F.split("text", PATTERNS[kind], -1)).alias("gaps"), F.col(kind).alias("hits")) for kind in KINDS]
+    found = found.select("k", "text", F.filter(F.array(*lists), lambda x: F.size(x["gaps"]) > 0).alias("x")).where(F.size("x") > 0)
+    found = found.select("k", "text", F.transform("x", lambda x: F.struct(x["kind"].alias("kind"), F.transform(F.slice(x["gaps"], F.lit(1), F.size(x["hits"])), F.length).alias("gaps"), x["hits"].alias("hits"))).alias("x"))
+    return found.groupBy("k").agg(F.first("text").alias("text"), F.first("x").alias("x"))
+
+
+def base_spans(texts: DataFrame) -> DataFrame:
+    """(k, kind, start, end, value) of all base matches in the texts (k, text); k is the text's md5, equal texts count once."""
+    return placed_spans(found_in(texts))
+
+
+def placed_spans(found: DataFrame) -> DataFrame:
+    """(k, kind, start, end, value) of the base matches in what found_in returns."""
+    found = found.select("k", F.explode("x").alias("x")).select("k", "x.*")
     pairs = F.arrays_zip(F.col("gaps").alias("gap"), F.col("hits").alias("hit"))
     one = found.select("k", "kind", F.posexplode(pairs).alias("i", "p")).select("k", "kind", "i", F.col("p.gap").cast("long").alias("g"), F.col("p.hit").alias("value"))
     upto = Window.partitionBy("k", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -80,13 +92,14 @@ def base_spans(texts: DataFrame) -> DataFrame:
     return placed.where(_valid(F.col("kind"), F.col("value")))
 
 
-def disclosing(texts: DataFrame, spans: DataFrame, smooth: float = SMOOTH, alpha: float = ALPHA) -> DataFrame:
+def disclosing(texts: DataFrame, spans: DataFrame, smooth: float = SMOOTH, alpha: float = ALPHA, some: DataFrame | None = None) -> DataFrame:
     """(k, term): terms of a text that disclose an entity in it.
 
     Entities are base matches (kind, value); entities and terms count once for each distinct text, and no count is too small. With n texts, an entity e in the share
     p = c(e) / n of them, a term t in c(t) and both in c(e, t), e's share of t's texts is q = (c(e, t) + smooth p) / (c(t) + smooth), and t discloses e if
     log(q / p) >= log(1 / p) / alpha. An entity in all texts has no information that a term could disclose.
-    Terms are lower-cased runs of letters outside the base matches' values.
+    Terms are lower-cased runs of letters outside the base matches' values. All entities that only one text has tell the same of its terms, and are one there. some: those of the texts that hold
+    entities, each once (k, text), if they are at hand. Terms of all texts are counted before they are shuffled.
     """
     held = written(spans.select("k", F.xxhash64("kind", F.lower("value")).alias("e")).distinct(), "pii-entities")
     if held.isEmpty():
@@ -102,9 +115,14 @@ def disclosing(texts: DataFrame, spans: DataFrame, smooth: float = SMOOTH, alpha
     def tells(ct: Column) -> Column:
         return F.log((F.col("cet") + F.lit(smooth) * share) / (ct + F.lit(smooth)) / share) >= -F.log(share) / alpha
 
+    named = F.when(F.col("ce") == 1, F.xxhash64("k", F.lit("alone"))).otherwise(F.col("e"))
+    held = written(held.join(often, "e").select("k", named.alias("e"), "ce").distinct(), "pii-held")
+    often = held.select("e", "ce").distinct()
     with_entity = held.select("k").distinct()
-    once = texts.join(with_entity, "k", "left_semi").groupBy("k").agg(F.first("text").alias("text"))
-    near = written(once.select("k", F.explode(words(bare)).alias("term")), "pii-terms")
+    if some is None:
+        some = texts.join(with_entity, "k", "left_semi").groupBy("k").agg(F.first("text").alias("text"))
+    near = written(some.join(with_entity, "k", "left_semi").select("k", F.explode(words(bare)).alias("term")), "pii-terms")
+    held = held.select("k", "e")
     both = near.join(held, "k").groupBy("e", "term").agg(F.count("*").alias("cet")).join(often, "e")
     # c(t) >= c(e, t), so what fails even at c(t) = c(e, t) needs no count over the corpus.
     both = written(both.where(tells(F.col("cet"))), "pii-pairs")
@@ -117,10 +135,8 @@ def disclosing(texts: DataFrame, spans: DataFrame, smooth: float = SMOOTH, alpha
 
 
 def term_spans(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(k, kind = term, start, end, value): where the terms (k, term) stand in the texts."""
-    asked = terms.groupBy("k").agg(F.collect_set("term").alias("terms"))  # at most the distinct words of one text
-    once = texts.join(asked.select("k"), "k", "left_semi").groupBy("k").agg(F.first("text").alias("text"))
-    found = once.select("k", F.split("text", TERM, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("hits"))
+    """(k, kind = term, start, end, value): where the terms (k, term) stand in the texts (k, text), each of them once."""
+    found = texts.join(terms.select("k").distinct(), "k", "left_semi").select("k", F.split("text", TERM, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("hits"))
     placed = _located(found, ["k"]).withColumn("term", F.lower("value"))
     return placed.join(terms, ["k", "term"], "left_semi").select("k", F.lit("term").alias("kind"), "start", "end", "value")
 
@@ -134,8 +150,10 @@ def keyed(docs: DataFrame) -> DataFrame:
 def all_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The keyed rows and all spans (k, kind, start, end, value) of their texts. A term that overlaps a base match is left out."""
     rows = keyed(docs)
-    base = written(base_spans(rows), "pii-base")
-    terms = written(term_spans(rows, written(disclosing(rows, base), "pii-disclosing")), "pii-term-spans")
+    found = written(found_in(rows), "pii-found")
+    base = written(placed_spans(found), "pii-base")
+    some = found.select("k", "text")
+    terms = written(term_spans(some, written(disclosing(rows, base, some=some), "pii-disclosing")), "pii-term-spans")
     busy = base.select(F.col("k").alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"))
     free = terms.join(busy, (F.col("k") == F.col("_k")) & (F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end")), "left_anti")
     return rows, base.unionByName(free)

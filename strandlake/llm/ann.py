@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandlake.llm.runtime import written
+
 #: Dimensions of the projection (even: the chi-square law then has a closed form).
 DIMS = 8
 #: Probability with which a nearer vector would have been met before the search of a tree stops.
@@ -96,32 +98,40 @@ def search(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.
 def nearest(rows: DataFrame, is_query: Column, k: int = 20, confidence: float = CONFIDENCE, dims: int = DIMS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of rows (vec_id, embedding) with is_query its k nearest others by inner product.
 
-    Rows are dealt out by a hash of vec_id to blocks of about ROWS_PER_TREE with a kd-tree each; every block of queries meets every tree, and each
+    Rows are dealt out by a hash to blocks of about ROWS_PER_TREE with a kd-tree each; every block of queries meets every tree, and each
     tree's k best are ranked. So work grows with queries times rows in the worst case, memory only with a block. Rows with a null vec_id, and vectors that are null, empty, zero or hold null or non-finite
-    components, take no part. Of rows with the same vec_id the greatest vector counts. Vectors meet those of their own length only.
+    components, take no part. Rows that share a vec_id are rows of their own, as candidates and as queries (each such query has its own ranks). Vectors meet those of their own length only.
+    Components are scaled by a power of two for the search, so none overflows; a score beyond the range of a double is infinite.
     """
     v = F.transform("embedding", lambda x: x.cast("double"))
     good = F.col("vec_id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
     base = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(F.coalesce(good, F.lit(False)))
-    base = base.groupBy("vec_id").agg(F.max("v").alias("v"), F.max("asks").alias("asks"))
+    base = written(base.withColumn("row", F.monotonically_increasing_id()), "nn-rows")
+    largest = base.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 1.0
+    power = math.frexp(largest)[1]
+    base = base.withColumn("v", F.transform("v", lambda x: x * F.lit(2.0 ** -(power // 2)) * F.lit(2.0 ** -(power - power // 2))))
     seen = base.agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("long")).alias("q"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("top")).first()
     trees, blocks, top = -(-seen["n"] // ROWS_PER_TREE) or 1, -(-(seen["q"] or 0) // QUERIES_PER_BLOCK) or 1, math.sqrt(seen["top"] or 0.0)
-    block, tree = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("vec_id"), F.lit(trees)).cast("int")
+    block, tree = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("row"), F.lit(trees)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    stored = base.select("vec_id", "v", F.size("v").alias("n"), every(blocks).alias("block"), tree.alias("tree"), F.lit(False).alias("asks"))
-    asked = base.where("asks").select("vec_id", "v", F.size("v").alias("n"), block.alias("block"), every(trees).alias("tree"), F.lit(True).alias("asks"))
+    stored = base.select("vec_id", "row", "v", F.size("v").alias("n"), every(blocks).alias("block"), tree.alias("tree"), F.lit(False).alias("asks"))
+    asked = base.where("asks").select("vec_id", "row", "v", F.size("v").alias("n"), block.alias("block"), every(trees).alias("tree"), F.lit(True).alias("asks"))
 
     def run(part: pa.Table) -> pa.Table:
         vectors = part.column("v").combine_chunks()
         vectors = vectors.values.slice(vectors.offsets[0].as_py() if len(vectors) else 0).to_numpy(zero_copy_only=False).reshape(len(part), -1) if len(part) else np.zeros((0, 1))
-        ids, asks = part.column("vec_id").to_numpy(), np.array(part.column("asks").to_pylist(), dtype=bool)
-        order = np.argsort(ids, kind="stable")
-        ids, asks, vectors = ids[order], asks[order], vectors[order]
-        found, scores = search(ids[asks], vectors[asks], ids[~asks], vectors[~asks], top, k, confidence, dims)
-        q = np.repeat(ids[asks], k)
+        ids, row, asks = part.column("vec_id").to_numpy(), part.column("row").to_numpy(), np.array(part.column("asks").to_pylist(), dtype=bool)
+        order = np.lexsort((row, ids))
+        ids, row, asks, vectors = ids[order], row[order], asks[order], vectors[order]
+        # Numbers in the order of ties, the same for a query and its own row.
+        number = np.cumsum(np.concatenate(([0], (np.diff(row) != 0) | (np.diff(ids) != 0)))) if len(row) else row
+        found, scores = search(number[asks], vectors[asks], number[~asks], vectors[~asks], top, k, confidence, dims)
         hit = np.isfinite(scores.ravel())
-        return pa.table({"query_id": pa.array(q[hit], pa.int64()), "vec_id": pa.array(found.ravel()[hit], pa.int64()), "score": pa.array(scores.ravel()[hit], pa.float64())})
+        first = np.searchsorted(number, found.ravel()[hit])
+        with np.errstate(over="ignore"):
+            score = np.ldexp(scores.ravel()[hit], 2 * power)
+        return pa.table({"query_row": pa.array(np.repeat(row[asks], k)[hit], pa.int64()), "query_id": pa.array(np.repeat(ids[asks], k)[hit], pa.int64()), "vec_id": pa.array(ids[first], pa.int64()), "row": pa.array(row[first], pa.int64()), "score": pa.array(score, pa.float64())})
 
-    met = stored.unionByName(asked).groupBy("n", "block", "tree").applyInArrow(run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    met = stored.unionByName(asked).groupBy("n", "block", "tree").applyInArrow(run, "query_row long, query_id long, vec_id long, row long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -19,6 +19,8 @@ from strandlake.llm.runtime import fresh_path, written
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes that a reading task owns.
 SPLIT_BYTES = 4 << 20
+#: Bytes of ranges that a task reads, where there are more ranges than cores need.
+TASK_BYTES = 128 << 20
 #: Bytes read or unpacked at once.
 CHUNK = 1 << 18
 #: An archive file is closed beyond this size.
@@ -103,7 +105,7 @@ def member_at(data: Bytes, at: int, keep: bool) -> tuple[int, dict] | None:
         if fresh:
             pos += len(chunk)
         if warc is None:
-            if not out.startswith(b"WARC/1."[: len(out)]) or len(out) > HEADER_BYTES and b"\r\n\r\n" not in out[:HEADER_BYTES]:
+            if not out.startswith(b"WARC/1."[: len(out)]):
                 return None
             if (i := out.find(b"\r\n\r\n")) < 0:
                 continue
@@ -199,10 +201,11 @@ def read_warc(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: boo
 
     Each range looks for the gzip magic, takes a candidate if it unpacks to a WARC header, and owns the records that start inside.
     payload_bytes and payload_digest are those of the full payload: counted and hashed, or a revisit's as its header has them.
-    payload is null unless asked for. What unpacks to no whole record is passed over.
+    A task reads TASK_BYTES of ranges or less. payload is null unless asked for. What unpacks to no whole record is passed over.
     """
     splits = manifest.where("bytes > 0").withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))))
-    n = splits.count()
+    size = manifest.agg(F.sum("bytes")).first()[0] or 0
+    n = min(splits.count(), max(4 * manifest.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

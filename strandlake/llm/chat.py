@@ -52,17 +52,18 @@ def collapse(hashed: DataFrame) -> DataFrame:
     return met.select("conv_id", (-F.col("best.c")).alias("into_conv")).where(~F.col("conv_id").eqNullSafe(F.col("into_conv")))
 
 
-def chat_format(turns: DataFrame, start: str = "<|im_start|>", end: str = "<|im_end|>") -> DataFrame:
+def chat_format(turns: DataFrame, start: str = "<|im_start|>", end: str = "<|im_end|>", escaped: str | None = None) -> DataFrame:
     """The turns of maximal conversations, rendered: conv_id, pos, role, n_turns, n_collapsed, rendered.
 
     n_collapsed counts the logged conversations that were collapsed into this one. A conversation's text is its rendered turns in the order of pos, one after the
     other; conversations are not gathered into one row. A null role or text renders as an empty string but is another turn than an
-    empty one. Turns with a null conv_id are one conversation; it is kept unless another one (with an id) holds it. Repeated rows are turns.
+    empty one. A marker inside a role or text is rendered as it stands and can look like a turn of its own, unless `escaped` is given to stand in its place. Turns with a null conv_id are one conversation; it is kept unless another one (with an id) holds it. Repeated rows are turns.
     """
     hashed = written(prefixes(turns), "chat-prefixes")
     gone = written(collapse(hashed), "chat-gone")
     kept = hashed.alias("t").join(gone.alias("g"), F.col("t.conv_id").eqNullSafe(F.col("g.conv_id")), "left_anti")
     into = gone.groupBy(F.col("into_conv").alias("_into")).agg(F.count("*").alias("n_collapsed"))
-    rendered = F.concat(F.lit(start), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(end + "\n"))
+    plain = lambda c: F.coalesce(c, F.lit("")) if escaped is None else F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit(start), F.lit(escaped)), F.lit(end), F.lit(escaped))
+    rendered = F.concat(F.lit(start), plain("role"), F.lit("\n"), plain("text"), F.lit(end + "\n"))
     kept = kept.join(into, F.col("conv_id").eqNullSafe(F.col("_into")), "left")
     return kept.select("conv_id", "pos", "role", F.col("n").alias("n_turns"), F.coalesce("n_collapsed", F.lit(0).cast("long")).alias("n_collapsed"), rendered.alias("rendered"))

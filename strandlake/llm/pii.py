@@ -183,7 +183,10 @@ def detect(docs: DataFrame) -> DataFrame:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """doc_id, text with each base match generalised to its kind in brackets and each disclosing term removed; overlapping matches become the first one's kind."""
+    """doc_id, text with each base match generalised to its kind in brackets and each disclosing term removed; overlapping matches become the first one's kind.
+
+    A null text is an empty one. Other columns are dropped, repeated rows are rows, an empty table gives an empty result.
+    """
     rows, spans = all_spans(docs)
     before = F.max("end").over(Window.partitionBy("k").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1))
     group = F.sum(F.when(F.col("start") < F.col("before"), 0).otherwise(1)).over(Window.partitionBy("k").orderBy("start", "end", "kind"))

@@ -123,10 +123,10 @@ def kd_leaves(parts: DataFrame, dims: list[str], shards: int) -> Column:
 def shard(docs: DataFrame, shards: int = 16, order: str | None = None) -> DataFrame:
     """Deal all rows out to `shards` shards of nearly equal bytes (law `bytes`).
 
-    Returns doc_id, size, text_crc32, law, shard, slot, grown_shard (null: the law is not `key`).
+    Returns doc_id, size, text_crc32, law, shard, slot, grown_shard (null: the law is not `key`), and the column `order` if it is named.
     A row's size is its text's UTF-8 bytes (null: none) plus 1. Metadata dimensions: size (its logarithm), the smallest
     doc_id, source and lang of the rows with the same text, the last two hashed. Rows with equal texts stay together,
-    null texts too; only a group heavier than a whole shard is dealt out in parts, by a hash of doc_id.
+    null texts too (a group apart from empty ones); only a group heavier than a whole shard is dealt out in parts, by a hash of doc_id.
     slot numbers each shard's rows without gaps, in the order of the column `order` (whole numbers from 0 on, none null, near gapless over all rows) if it is named.
     An empty table gives an empty result, null doc_ids are kept,
     repeated rows are rows. Other columns of docs are ignored.
@@ -145,7 +145,7 @@ def shard(docs: DataFrame, shards: int = 16, order: str | None = None) -> DataFr
     groups = written(groups, "shard-groups")
     lows = groups.agg(F.sum("w").alias("w"), *[f(c).alias(f"{k}_{c}") for c in ("size", "first") for k, f in (("lo", F.min), ("hi", F.max))], F.count("*").alias("n")).first()
     if not lows["n"]:
-        return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *([F.lit(0).cast("long").alias(order)] if order else []))
     target = lows["w"] / shards
     m = F.when(F.col("w") > target, F.ceil(F.col("w") * PARTS_PER_SHARD / F.lit(target))).otherwise(1).cast("int")
     parts = groups.withColumn("m", m).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
@@ -159,8 +159,13 @@ def shard(docs: DataFrame, shards: int = 16, order: str | None = None) -> DataFr
     parts = written(parts.select(*key, "part", (F.col("w") / F.col("m")).alias("w"), *[(F.shiftleft(h, 32) + tie).alias(c) for h, c in zip(high, dims, strict=True)]), "shard-parts")
     at = parts.withColumn("shard", kd_leaves(parts, dims, shards))
     at = at.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "shard"))), lambda x: x["shard"]).alias("at"))
+    at = written(at, "shard-at")
     cond = (F.col("g") == F.col("_g")) & (F.col("text_crc32") == F.col("_text_crc32")) & (F.col("size") == F.col("_size"))
-    dealt = rows.join(at, cond).select("doc_id", "size", "text_crc32", *(["_at"] if order else []), F.col("at")[F.pmod(F.xxhash64("doc_id"), F.size("at")).cast("int")].alias("shard"))
+    # Groups in parts are each heavier than a shard, so there are fewer of them than shards; their rows are not gathered.
+    heavy = rows.join(F.broadcast(at.where(F.size("at") > 1)), cond, "left")
+    own = ["doc_id", "size", "text_crc32", *(["_at"] if order else [])]
+    light = heavy.where("at is null").select(*own, "g").join(at.where(F.size("at") == 1), cond).select(*own, F.col("at")[0].alias("shard"))
+    dealt = heavy.where("at is not null").select(*own, F.col("at")[F.pmod(F.xxhash64("doc_id"), F.size("at")).cast("int")].alias("shard")).unionByName(light)
     dealt = written(dealt, "shard-dealt")
     n = buckets_for(dealt.count(), shards)
     if order:
@@ -169,4 +174,4 @@ def shard(docs: DataFrame, shards: int = 16, order: str | None = None) -> DataFr
     else:
         dealt = dealt.withColumn("_b", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n)))
     out = numbered(dealt, ["shard"], "_b", [F.col("_at")] if order else [F.col("doc_id"), F.col("text_crc32")], "slot")
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), *([F.col("_at").alias(order)] if order else []))

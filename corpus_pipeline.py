@@ -51,12 +51,15 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their position in the Pfair schedule; partitions and the rows in them follow each other in that order."""
-    return mixing.mix(docs).select(*docs.columns, "position")
+    return mixing.mix(docs).select(*[c for c in docs.columns if c != "position"], "position")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shards of nearly equal bytes, each in the order of the schedule."""
-    return sharding.shard(docs, SHARDS, order="position")
+    """All documents with their shard, of nearly equal bytes, and their slot in it, in the order of the schedule."""
+    names = _free(docs.drop("position"), "shard", "slot")
+    placed = sharding.shard(docs, SHARDS, order="position").select(F.col("position").alias("_at"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != "position"]).alias("row"), "position")
+    return rows.join(placed, F.col("position") == F.col("_at")).select("row.*", F.col("_shard").alias(names[0]), F.col("_slot").alias(names[1]))
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("mix", mix), ("shard", shard)]

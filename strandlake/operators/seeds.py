@@ -27,7 +27,7 @@ def exact_seeds(a: DataFrame, b: DataFrame, k: int, cap: int) -> DataFrame:
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
-    return np.frexp(x.astype(np.float64))[1]
+    return np.frexp(x.astype(np.float64))[1].astype(np.int64)
 
 
 def _common(a1: np.ndarray, a2: np.ndarray, b1: np.ndarray, b2: np.ndarray, k: int) -> np.ndarray:

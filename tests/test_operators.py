@@ -1,8 +1,10 @@
 """Sequence and interval operators on small fixtures."""
 
+import random
+
 import pytest
 
-from strandlake.operators import intervals, sequences
+from strandlake.operators import chains, intervals, kmers, ordered, seeds, sequences, stats
 
 
 def rows(df):
@@ -18,7 +20,9 @@ def test_contigs_lie_between_runs_of_n(spark):
 def test_kmers_equal_brute_force(spark, n):
     seq = ("acgtt" * 200)[:n]
     df = spark.createDataFrame([(1, seq)], "id int, seq string")
-    assert rows(sequences.kmers(df, "id", 4)) == sorted((1, i, seq[i : i + 4]) for i in range(n - 3))
+    number = lambda w: sum("acgt".index(c) * 4 ** (len(w) - 1 - i) for i, c in enumerate(w))
+    assert rows(kmers.words(df, "id", 4)) == sorted((1, i, number(seq[i : i + 4]), 0) for i in range(n - 3))
+    assert rows(kmers.words(df, "id", 23)) == sorted((1, i, number(seq[i : i + 20]), number(seq[i + 20 : i + 23])) for i in range(n - 22))
 
 
 def test_touching_intervals_are_merged(spark):
@@ -29,10 +33,105 @@ def test_touching_intervals_are_merged(spark):
 def test_overlaps_come_once(spark):
     a = spark.createDataFrame([(1, 0, 100), (1, 50, 51), (1, 7, 7)], "g int, beg long, end long")
     b = spark.createDataFrame([(1, 99, 300), (1, 100, 120), (1, 0, 1000)], "g int, rbeg long, rend long")
-    assert rows(intervals.overlaps(a, b, "g", 16)) == [(1, 0, 100, 0, 1000), (1, 0, 100, 99, 300), (1, 50, 51, 0, 1000)]
+    assert rows(intervals.overlaps(a, b, "g")) == [(1, 0, 100, 0, 1000), (1, 0, 100, 99, 300), (1, 50, 51, 0, 1000)]
 
 
 def test_length_quantiles_of_few_and_none(spark):
     df = spark.createDataFrame([(10,), (10,), (80,)], "len long")
     assert rows(intervals.length_quantiles(df, [50, 80, 90])) == [(50, 80), (80, 80), (90, 10)]
     assert rows(intervals.length_quantiles(df.limit(0), [50])) == []
+
+
+def test_overlaps_equal_brute_force(spark):
+    rng = random.Random(1)
+    make = lambda n: [(rng.randrange(3), b, b + rng.choice([0, 1, 5, 63, 64, 65, 700, 90_000])) for b in (rng.randrange(100_000) for _ in range(n))]
+    a, b = make(120), make(100)
+    got = rows(intervals.overlaps(spark.createDataFrame(a, "g int, beg long, end long"), spark.createDataFrame(b, "g int, rbeg long, rend long"), "g"))
+    assert got == sorted((g, x, y, s, t) for g, x, y in a for h, s, t in b if g == h and x < t and s < y and x < y and s < t)
+
+
+def test_empty_intervals(spark):
+    none = spark.createDataFrame([], "g int, beg long, end long")
+    lengths = spark.createDataFrame([(1, 50)], "g int, clen long")
+    assert rows(intervals.union(none, "g")) == [] and rows(intervals.uncovered(none, lengths, "g")) == [(1, 0, 50)]
+    assert rows(intervals.total_size(none, "g")) == [] and rows(stats.log_histogram(none.selectExpr("end as len"))) == []
+    totals = intervals.annotation_totals(none.selectExpr("*", "1 as orient", "'x' as label", "1 as score", "true as parsed"), lengths, "g").first()
+    assert (totals.n, totals.span, totals.uncovered, totals.gaps) == (0, 0, 50, 1)
+
+
+def test_numbers_follow_the_order(spark):
+    df = spark.range(1000).selectExpr("id * 7919 % 1000 as x")
+    assert rows(ordered.numbered(df, ["x"])) == [(i, i) for i in range(1000)]
+    assert rows(ordered.slice_rows(df, ["x"], 10, 13)) == [(10,), (11,), (12,)]
+    sums = rows(ordered.running(df.selectExpr("x", "cast(1 as long) as w"), "x", "w", "upto", descending=True).select("x", "upto"))
+    assert sums == [(i, 1000 - i) for i in range(1000)]
+
+
+def revcomp(s):
+    return s[::-1].translate(str.maketrans("acgt", "tgca"))
+
+
+def plain_index(seqs):
+    """(ctg, pos, neg, kmer) by the rule, letter by letter."""
+    number = lambda w: sum("acgt".index(c) * 4 ** (3 - i) for i, c in enumerate(w))
+    rank = lambda w: kmers.RANKS[number(w[:4])] * 256 + kmers.RANKS[number(w[4:])]
+    out = []
+    for ctg, s in seqs:
+        for j in range(len(s) - 11):
+            r = [min(rank(s[j + i : j + i + 8]), rank(revcomp(s[j + i : j + i + 8]))) for i in range(5)]
+            if min(r) in (r[0], r[4]):
+                if j + 40 <= len(s):
+                    out.append((ctg, j, False, s[j : j + 40]))
+                if j >= 28:
+                    out.append((ctg, j + 12, True, revcomp(s[j - 28 : j + 12])))
+    return out
+
+
+def common(x, y):
+    return next((i for i, (c, d) in enumerate(zip(x, y, strict=True)) if c != d), len(x))
+
+
+def test_adaptive_seeds_equal_brute_force(spark):
+    rng = random.Random(2)
+    letters = lambda n: "".join(rng.choice("acgt") for _ in range(n))
+    core, low = letters(90), "at" * 40
+    a = [(0, letters(60) + core + letters(30)), (1, low + letters(50)), (2, "acg"), (3, "a" * 41)]
+    b = [(0, letters(40) + core[:50] + "a" + core[51:] + letters(40)), (1, revcomp(core) + letters(60)), (2, low * 3), (4, letters(20) + core[20:70])]
+    b += [(10 + i, core[30:75]) for i in range(4)]
+    frame = lambda x: kmers.index(spark.createDataFrame(x, "ctg long, seq string"), "ctg")
+    ia, ib = plain_index(a), plain_index(b)
+    assert len(ia) == frame(a).count()
+    want = []
+    for ctg, pos, neg, k in ia:
+        if neg:
+            continue
+        size = max((common(k, x[3]) for x in ib), default=0)
+        hits = [x for x in ib if common(k, x[3]) >= size]
+        if size >= 12 and len(hits) < 5:
+            want += [(size, ctg, pos, x[0], x[1], x[2]) for x in hits]
+    assert rows(seeds.adaptive_seeds(frame(a), frame(b), freq=5)) == sorted(want) and want
+    own = []
+    for i, (ctg, pos, neg, k) in enumerate(ib):
+        size = max((common(k, x[3]) for j, x in enumerate(ib) if j != i), default=0)
+        hits = [(j, x) for j, x in enumerate(ib) if common(k, x[3]) >= size]
+        if size >= 12 and len(hits) < 5:
+            own += [(size, ctg, pos, x[0], x[1], neg != x[2]) for j, x in hits if j != i]
+    assert rows(seeds.self_seeds(frame(b), freq=5)) == sorted(own) and own
+    assert rows(seeds.adaptive_seeds(frame(a).limit(0), frame(b))) == [] == rows(seeds.adaptive_seeds(frame(a), frame(b).limit(0)))
+
+
+@pytest.mark.parametrize(("gap", "chained"), [(1999, 1), (2000, 2), (2001, 2)])
+def test_chains_break_at_the_gap(spark, gap, chained):
+    seed = lambda at: (40, 0, at, 0, at, False)
+    left = [seed(x) for x in range(0, 100, 20)]
+    start = (2 * 80 + 2 * 40 + gap) / 2
+    right = [(40, 0, int(start + 0.5) + x, 0, int(start) + x, False) for x in range(0, 100, 20)]
+    df = spark.createDataFrame(left + right, "len int, actg long, apos long, bctg long, bpos long, comp boolean")
+    got = chains.chains(chains.diagonals(df, 5000, 5000)).collect()
+    assert len(got) == chained
+    assert rows(chains.chains(chains.diagonals(df.limit(0), 1, 1))) == []
+
+
+def test_chains_need_coverage(spark):
+    df = spark.createDataFrame([(40, 0, 0, 0, 0, False), (40, 0, 44, 0, 44, False)], "len int, actg long, apos long, bctg long, bpos long, comp boolean")
+    assert rows(chains.chains(chains.diagonals(df, 99, 99), chain_min=80)) != [] and rows(chains.chains(chains.diagonals(df, 99, 99), chain_min=81)) == []

@@ -247,3 +247,21 @@ def test_alignments_of_planted_seeds(spark):
         x, y = a.first().seq[r.abpos : r.aepos], other[r.bbpos : r.bepos]
         assert abs(r.abpos - 300) < 30 and abs(r.aepos - 1200) < 30
         assert cigar.text(cigar.compared(cigar.matches_as_m(cigar.parse(r.cigar)), x, y)) == r.cigar and sum(r.tpoints) == len(y)
+
+
+def test_one_files(spark, tmp_path):
+    from strandlake.sources import one
+
+    rows = spark.createDataFrame([("a b", "ACgtNNxACG"), ("c", ""), ("", "NNac")], "name string, seq string")
+    path = fresh_path(spark, "one")
+    one.write_sequences(rows, path)
+    assert sorted(map(tuple, one.read_sequences(spark, path).collect())) == [("", "NNac"), ("a b", "ACgtNNxACG"), ("c", "")]
+    (tmp_path / "plain").write_text("1 3 seq 2 1\n# S 2\nS 4 acgt\nI 3 one\nS 2 tt\nM 2 0 1\n")
+    assert [tuple(r) for r in one.read_sequences(spark, str(tmp_path / "plain")).collect()] == [("one", "acgt"), ("2", "tT")]
+    for n, text in enumerate(("1 3 gdb 2 1\n", "1 3 seq 2 1\nS 1 a\ns 3 1 x\n", "1 3 seq 2 1\nB 1\n")):
+        (tmp_path / f"bad{n}").write_text(text)
+        with pytest.raises(Exception, match="no seq file|one file|no lines"):
+            one.read_sequences(spark, str(tmp_path / f"bad{n}")).collect()
+    (tmp_path / "aln").write_text("1 3 aln 2 1\nA 0 0 5 0 0 5\n")
+    with pytest.raises(Exception, match="no trace point spacing"):
+        one.read_alignments(spark, str(tmp_path / "aln")).collect()

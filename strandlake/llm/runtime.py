@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import math
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +55,14 @@ def discard(*steps: DataFrame) -> None:
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of written steps that nothing refers to any more: it does so when the driver collects its garbage, which may else be long after."""
+    for _ in range(2):  # what the first round frees may hold what the second one can
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

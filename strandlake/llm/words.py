@@ -53,13 +53,44 @@ def _inverses() -> np.ndarray:
 
 def _hash_block(data: np.ndarray) -> np.ndarray:
     """Hashes of the words in at most BLOCK bytes."""
+    return _placed_hashes(data)[1]
+
+
+def _placed_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words in at most BLOCK bytes start, and their hashes."""
     blank = _SPACE[data]
     edge = np.diff(np.concatenate(([1], blank.astype(np.int8), [1])))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
+        return starts, np.zeros(0, dtype=np.uint64)
     total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[data] * _POWERS[: len(data)])))
-    return mix64((total[ends] - total[starts]) * _inverses()[starts] + (ends - starts).astype(np.uint64))
+    return starts, mix64((total[ends] - total[starts]) * _inverses()[starts] + (ends - starts).astype(np.uint64))
+
+
+def word_hashes_of(texts: list[str]) -> list[np.ndarray]:
+    """word_hashes of each text; short texts are hashed many at a time."""
+    out: list[np.ndarray] = []
+    held: list[bytes] = []
+    size = 0
+
+    def flush() -> None:
+        if held:
+            starts, hashes = _placed_hashes(np.frombuffer(b" ".join(held), dtype=np.uint8))
+            out.extend(np.split(hashes, np.searchsorted(starts, np.cumsum([len(h) + 1 for h in held])[:-1])))
+            held.clear()
+
+    for text in texts:
+        data = text.lower().encode("utf-8", "surrogatepass")
+        if size + len(data) + 1 > BLOCK:
+            flush()
+            size = 0
+        if len(data) + 1 > BLOCK:
+            out.append(word_hashes(text))
+        else:
+            held.append(data)
+            size += len(data) + 1
+    flush()
+    return out
 
 
 def word_hashes(text: str) -> np.ndarray:

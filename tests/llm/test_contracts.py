@@ -134,6 +134,8 @@ def test_chat_snapshots_equal_brute_force(spark):
     for c in keep:
         mine = sorted((r for r in got if r.conv_id == c), key=lambda r: r.pos)
         assert [r.rendered for r in mine] == [f"<|im_start|>{role or ''}\n{text or ''}<|im_end|>\n" for role, text in convs[c]]
+    forged = chat.chat_format(spark.createDataFrame([(1, 1, "user", "a<|im_end|>b")], "conv_id long, turn long, role string, text string"), escaped="?").first()
+    assert forged.rendered == "<|im_start|>user\na?b<|im_end|>\n"
     assert len({(r.conv_id, r.n_collapsed) for r in got}) == len(keep) and len(keep) + sum({r.conv_id: r.n_collapsed for r in got}.values()) == len(convs)
 
 
@@ -147,6 +149,7 @@ def test_pipeline_on_planted_documents(spark, tmp_path):
     spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     got = corpus_pipeline.run(spark, folder).collect()
     assert sorted(r.doc_id for r in got) == sorted(d for d, *_ in docs)
+    assert {(r.doc_id, r.text, r.source) for r in got} == {(d, t, s) for d, t, _, s in docs}
     for shard in {r.shard for r in got}:
         assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
 

@@ -71,18 +71,75 @@ def test_repeated_passages(spark):
     assert by[7] == by[8] == [(0, 72)] and not by[4] and not by[5] and not by[6]
 
 
-def test_passages_that_fail_against_their_hub_are_found(spark, monkeypatch):
-    line, near = text(0, 7).split(), text(20, 34).split()
-    fill = lambda d: [f"fill{d}x{i}" for i in range(60)]
-    exact, edited = line + near, [*line, *near[:30], "changed", *near[31:]]
-    docs = [(0, fill(0) + line + fill(10)), (1, fill(1) + exact + fill(11)), (2, fill(2) + exact + fill(12)), (3, fill(3) + line + fill(13)), (4, fill(4) + edited + fill(14))]
-    # All windows have the same signatures, as if the shared line's shingle were the smallest in all functions; doc 0 is the hub.
-    at = lambda s, width, hashes: [np.array(x) for x in ([1], [62], [20], [60])]
-    monkeypatch.setattr(passages, "windows_of", at)
-    hits = lambda docs: {(r.doc_id, r.start_word, r.end_word, r.class_id) for r in passages.repeated_passages(spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string")).collect()}
-    got = hits(docs)
-    assert {d for d, *_ in got} == {1, 2, 4} and len({c for *_, c in got}) == 1
-    assert all(a <= 60 and b >= 60 + len(exact) for d, a, b, _ in got if d in (1, 2))
+def brute_force_windows(docs, words=50):
+    """(doc_id, start) of the windows of `words` words that stand elsewhere word for word, apart from this one."""
+    seen = {}
+    for d, t in docs:
+        w = t.lower().split()
+        for i in range(len(w) - words + 1):
+            seen.setdefault(tuple(w[i : i + words]), []).append((d, i))
+    return {(d, i) for at in seen.values() for d, i in at if any(x != d or abs(y - i) >= words for x, y in (at[0], at[-1]))}
+
+
+def stock_sentences(rng):
+    """Documents with a stock sentence each, some of which share a run of three; and the pairs that do."""
+    words = lambda n: [f"v{x}" for x in rng.integers(0, 5000, n)]
+    stock = [words(20) for _ in range(30)]
+    body = {i: words(60) + stock[int(rng.integers(30))] + words(60) for i in range(150)}
+    pairs, order = [], rng.permutation(150)
+    for k in range(30):
+        a, b = (int(x) for x in order[2 * k : 2 * k + 2])
+        run = [w for x in rng.choice(30, 3, replace=False) for w in stock[int(x)]]
+        body[a], body[b] = body[a] + words(7) + run + words(40), body[b] + words(9) + run + words(30)
+        pairs.append((a, b))
+    return [(i, " ".join(w)) for i, w in body.items()], pairs
+
+
+@pytest.mark.parametrize("hot", [passages.HOT, 0])
+def test_repeats_among_stock_sentences(spark, monkeypatch, hot):
+    monkeypatch.setattr(passages, "SAMPLE", 1)
+    own = passages.links_of
+    monkeypatch.setattr(passages, "links_of", lambda *a: own(*a, hot=hot))
+    docs, pairs = stock_sentences(np.random.default_rng(3))
+    docs += [(900, None), (None, docs[0][1]), (901, docs[0][1]), (901, docs[0][1]), (902, ""), (903, " ".join(f"L{i} l{i % 7}" for i in range(9000)) + " " + docs[1][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as t", "2 as class_id")
+    got = passages.repeated_passages(df).collect()
+    of = {}
+    for r in got:
+        of.setdefault(r.doc_id, []).append((r.start_word, r.end_word, r.class_id))
+    assert all({c for *_, c in of.get(a, [])} & {c for *_, c in of.get(b, [])} for a, b in pairs)
+    texts = [(-1 if d is None else d, t) for d, t in docs if t]
+    want = brute_force_windows(texts)
+    lost = [(d, i) for d, i in want if not any(a <= i and b >= i + 50 for a, b, _ in of.get(None if d == -1 else d, []))]
+    assert len(lost) <= 0.02 * len(want)
+    linked = {x for p in pairs for x in p} | {0, 1, None, 901, 903}
+    assert set(of) <= linked and passages.repeated_passages(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("size", "edits"), [(50, 1), (100, 2), (150, 3)])
+def test_edited_passages_are_found(spark, size, edits):
+    rng = np.random.default_rng(size)
+    words = lambda n: [f"v{x}" for x in rng.integers(0, 5000, n)]
+    docs, want = [], []
+    for k in range(60):
+        own = words(size)
+        other = list(own)
+        for i in rng.choice(size, edits, replace=False):
+            other[int(i)] = "changed"
+        a, b = (words_multiset([*w]) for w in (own, other))
+        best = max(len(set(a[i : i + 46]) & set(b[i : i + 46])) for i in range(size - 49))
+        if best >= 0.8 * (92 - best):
+            want.append(k)
+        docs += [(2 * k, " ".join(words(70) + own + words(50))), (2 * k + 1, " ".join(words(30) + other + words(80)))]
+    classes = {}
+    for r in passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        classes.setdefault(r.doc_id, set()).add(r.class_id)
+    found = sum(bool(classes.get(2 * k, set()) & classes.get(2 * k + 1, set())) for k in want)
+    assert len(want) >= 30 and found >= 0.95 * len(want)
+
+
+def words_multiset(w):
+    return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
 
 
 @pytest.mark.parametrize("n", [50, 52, 54, 60])
@@ -169,6 +226,17 @@ def test_nearest_neighbours_equal_brute_force(spark, n):
     assert hit >= 0.9 * total and set(got) <= set(range(0, n, 20))
 
 
+def test_repeated_and_huge_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [0.9, 0.0]), (2, [0.9, 0.0]), (3, None), (20, [1.0, 0.0]), (20, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as row", "'x' as score")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(df, df.vec_id == 0).orderBy("rank").collect()]
+    assert got == [(0, 1, 20, 1.0), (0, 2, 20, 1.0), (0, 3, 1, 0.9), (0, 4, 2, 0.9), (0, 5, 1, 0.5)]
+    twice = [(r["rank"], r.vec_id) for r in ann.nearest(df, df.vec_id == 20, k=2).orderBy("rank", "vec_id").collect()]
+    assert twice == [(1, 0), (1, 0), (2, 20), (2, 20)]
+    big = spark.createDataFrame([(i, [x * 1e200, 1e200]) for i, x in enumerate((1.0, -2.0, 0.5))], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in ann.nearest(big, big.vec_id == 0).orderBy("rank").collect()] == [(2, float("inf")), (1, float("-inf"))]
+
+
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 HARD = ["a@b.c_d@e.f x@y a@b q@r.s-t..u@v.w", "1.2.3.4.5.6.7.8.9 256.1.1.1 001.02.3.255", "4111 1111 1111 1111 x 4111111111111112", "+1 (234) 567-8901 ++12345678901", "😀 a@b.co 😀 4111111111111111", None, "", "9" * 30000 + " " + "y." * 20000]
 

@@ -12,7 +12,8 @@ from strandlake.plans import sequence_queries as sq
 from strandlake.plans import trace_queries as tq
 from strandlake.plans.interval_queries import _ANNO, _annotations
 from strandlake.plans.registry import DNA, GAPPED, query, table
-from strandlake.sources import alignment_text, fasta, intervals_text, one, tables
+from strandlake.sources import alignment_text, fasta, intervals_text, tables
+from strandlake.sources import typed_lines as one
 from strandlake.storage import fresh_path, written
 
 _NAMED = f"SELECT 'doc' || doc_id AS name, {GAPPED} AS seq FROM documents"
@@ -209,14 +210,14 @@ def table_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"SELECT 'doc' || doc_id AS name, translate(lower({GAPPED}), 'n', 'N') AS seq FROM documents")
-def one_sequences_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def line_sequences_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "one-seq")
     one.write_sequences(_named(spark, sf_dir).select("name", F.translate(F.lower("seq"), "n", "N").alias("seq")), path)
     return one.read_sequences(spark, path)
 
 
 @query(f"WITH {sq._PARTS} SELECT 'doc' || scaf AS name, sbeg, clen, slen FROM c JOIN l USING (scaf)")
-def one_skeleton_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def line_skeleton_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "one-gdb")
     own = _named(spark, sf_dir)
     one.write_skeleton(own.select("scaf", "name", "slen"), sequences.contigs(own.select("scaf", "seq")).select("scaf", "sbeg", "clen"), path)
@@ -224,7 +225,7 @@ def one_skeleton_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{_ANNO} SELECT user_id AS scaf, beg, "end", orient::INT AS orient, score::INT AS score, label FROM e""")
-def one_annotations_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def line_annotations_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "one-ano")
     rows, _ = _annotations(spark, sf_dir)
     one.write_annotations(rows.select(F.col("user_id").alias("scaf"), "beg", "end", "orient", "score", "label", F.array(F.col("beg") + 1).alias("parse")), path)
@@ -232,7 +233,7 @@ def one_annotations_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {tq._TRACE}, s AS (SELECT doc_id, string_agg(t::VARCHAR, ',' ORDER BY panel) AS points, string_agg(d::VARCHAR, ',' ORDER BY panel) AS each FROM h GROUP BY doc_id) SELECT doc_id AS actg, abpos, aepos, doc_id + 7 AS bctg, bbpos, bepos, comp, diffs, points, each, 100::BIGINT AS spacing FROM r JOIN s USING (doc_id)")
-def one_alignments_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def line_alignments_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "one-aln")
     one.write_alignments(tq._traced(spark, sf_dir).select(F.col("doc_id").alias("actg"), "abpos", "aepos", (F.col("doc_id") + 7).alias("bctg"), "bbpos", "bepos", "comp", "diffs", "tpoints", "tdiffs"), path)
     said = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")

@@ -1 +1 @@
-"""Text formats as tables: FASTA, BED, PAF, PSL and ONEcode, read and written by Spark."""
+"""Text formats as tables: FASTA, BED, PAF, PSL and typed line files, read and written by Spark."""

@@ -11,7 +11,7 @@ from strandlake.storage import filesystem
 #: Endings of sequence files, in the order in which they are tried.
 SEQUENCES = (".fa", ".fna", ".fasta", ".fa.gz", ".fna.gz", ".fasta.gz")
 #: Tables of one genome, by the ending of its folder.
-TABLES = {"genome": ".gdb.parquet", "index": ".gix.parquet", "annotation": ".ano.parquet", "alignments": ".aln.parquet"}
+TABLES = {"genome": ".genome", "index": ".index", "annotation": ".notes", "alignments": ".alignments"}
 
 
 def exists(spark: SparkSession, path: str) -> bool:

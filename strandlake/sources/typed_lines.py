@@ -1,4 +1,4 @@
-"""ONEcode text files as tables, and back: sequences, genome skeletons, annotations, alignments.
+"""Typed line files as tables, and back: sequences, genome skeletons, annotations, alignments.
 
 A file is a header and lines of a letter and its fields; texts and lists follow their length. Each partition becomes a file with a header of its own, and each file is read as a whole, so one must fit a task.
 """

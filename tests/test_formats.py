@@ -150,7 +150,7 @@ def test_tables_of_a_genome(spark):
         paths.remove(spark, base)
     with pytest.raises(ValueError):
         tables.checked(rows, "scaf long, other string")
-    assert paths.target("d/x.fa.gz", None, ".gdb") == "d/x.gdb" and paths.target("d/x.fa", "out/", ".gdb") == "out/x.gdb"
+    assert paths.target("d/x.fa.gz", None, ".made") == "d/x.made" and paths.target("d/x.fa", "out/", ".made") == "out/x.made"
     calls = []
     for _ in range(2):
         assert paths.made(spark, base + "-made", lambda: calls.append(1) or spark.range(2), keep=False).count() == 2
@@ -249,8 +249,8 @@ def test_alignments_of_planted_seeds(spark):
         assert cigar.text(cigar.compared(cigar.matches_as_m(cigar.parse(r.cigar)), x, y)) == r.cigar and sum(r.tpoints) == len(y)
 
 
-def test_one_files(spark, tmp_path):
-    from strandlake.sources import one
+def test_typed_line_files(spark, tmp_path):
+    from strandlake.sources import typed_lines as one
 
     rows = spark.createDataFrame([("a b", "ACgtNNxACG"), ("c", ""), ("", "NNac")], "name string, seq string")
     path = fresh_path(spark, "one")

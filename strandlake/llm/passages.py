@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -126,51 +125,209 @@ def windows_of(texts: list[np.ndarray], width: int, hashes: int) -> list[np.ndar
     return [np.concatenate([x[j] for x in found]) for j in range(6)]
 
 
-def agree(a: np.ndarray, ca: int, b: np.ndarray, cb: int, width: int, threshold: float) -> tuple[int, int, int, int] | None:
-    """The passages (a from, a to, b from, b to; ends included) about a[ca] = b[cb] that reach the threshold and `width`, or None.
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """How often the value of each place stands before it."""
+    order = np.argsort(x, kind="stable")
+    at, v = np.arange(len(x)), x[order]
+    out = np.empty(len(x), dtype=np.int64)
+    out[order] = at - np.maximum.accumulate(np.where(np.concatenate(([True], v[1:] != v[:-1])), at, 0))
+    return out
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which places of a have a value that b has."""
+    b = np.sort(b)
+    return b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
+
+
+def _room(shared: np.ndarray, width: int, share: float) -> float:
+    """The most that shared places in a range of `width` or more exceed its share of places by."""
+    p = np.zeros(len(shared) + 1)
+    np.cumsum(shared - share, out=p[1:])
+    return float((p[width:] - np.minimum.accumulate(p[: len(p) - width])).max())
+
+
+def _best(shared: np.ndarray, width: int, share: float) -> tuple[int, int]:
+    """The range of `width` or more whose shared places exceed its share of places most."""
+    p = np.zeros(len(shared) + 1)
+    np.cumsum(shared - share, out=p[1:])
+    to = int((p[width:] - np.minimum.accumulate(p[: len(p) - width])).argmax())
+    return int(p[: to + 1].argmin()), to + width
+
+
+#: Ranges that are looked at in one step, and what a sum of shares may be off by.
+STEP, SLIP = 16, 1e-9
+
+
+class _Partners:
+    """For ranges of a the range of b, of `width` or more, whose shingles in common exceed its share of places most; shingles count as often as they stand in both."""
+
+    def __init__(self, same: np.ndarray, b: np.ndarray, width: int, share: float):
+        self.width, self.share, self.m = width, share, len(b)
+        self.at = None
+        if same.sum(axis=0).max() > 1:
+            self.before = np.concatenate((np.zeros((1, self.m), dtype=np.int32), np.cumsum(same, axis=0, dtype=np.int32)))
+        else:  # where a has the shingle of each place
+            self.at = np.where(same.any(axis=0), same.argmax(axis=0), -1)
+        self.rank = _ranks(b)
+        self.often = self.rank.max() > 0
+        if self.often:
+            self.order = np.argsort(b, kind="stable")
+            self.place = np.empty(self.m, dtype=np.int64)
+            self.place[self.order] = np.arange(self.m)
+            self.starts, places = np.arange(self.m + 1 - width), np.arange(self.m)[:, None]
+            self.behind = places >= self.starts
+            self.cost = np.where(places - self.starts < width - 1, np.inf, share * (places + 1 - self.starts))
 
-    Shingles are chained outwards from the centre, in order in both; the chain's ends are dropped at its widest gaps until chained shingles
-    over all of both passages reach the threshold, a lower bound of their multiset similarity. A chain shorter than `width` is extended beyond its ends up to it:
-    on both sides if the threshold allows, else on the left, else as far as there is room on the left and the rest on the right.
+    def of(self, start: np.ndarray, end: np.ndarray, least: np.ndarray, need: np.ndarray, fit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(excess, from, to) for the ranges start to end of a; the partner starts at least or later. The excess is a bound where it is below need; from and to are set only where it is fit or more."""
+        if self.at is None:
+            count = self.before[end] - self.before[start]
+        else:
+            count = ((self.at >= start[:, None]) & (self.at < end[:, None])).astype(np.int32)
+        shared = count > 0
+        p = np.zeros((len(start), self.m + 1))
+        np.cumsum(shared - self.share, axis=1, out=p[:, 1:])
+        starts = p[:, : self.m + 1 - self.width]
+        if least.any():
+            starts = np.where(np.arange(starts.shape[1]) < least[:, None], np.inf, starts)
+        gain = p[:, self.width :] - np.minimum.accumulate(starts, axis=1)
+        excess, first, to = gain.max(axis=1), np.zeros(len(start), dtype=np.int64), np.zeros(len(start), dtype=np.int64)
+        loose = (shared & (self.rank >= count)).any(axis=1) if self.often else np.zeros(len(start), dtype=bool)
+        for k in np.flatnonzero((excess >= fit) & ~loose):
+            last = int(gain[k].argmax())
+            first[k], to[k] = starts[k, : last + 1].argmin(), last + self.width
+        # Where b has a shingle more often than the range of a, each place counts only from behind as many places before it on.
+        for k in np.flatnonzero((excess >= need) & loose):
+            after = np.where(self.rank >= count[k], self.order[self.place - np.minimum(count[k], self.rank)], -1)
+            after[~shared[k]] = self.m
+            z = least[k]
+            if z > self.m - self.width:
+                excess[k] = -np.inf
+                continue
+            sums = np.cumsum((after[z:, None] < self.starts[z:]) & self.behind[z:, z:], axis=0, dtype=np.int32) - self.cost[z:, z:]
+            last, first[k] = divmod(int(sums.argmax()), sums.shape[1])
+            excess[k], first[k], to[k] = sums[last, first[k]], first[k] + z, last + z + 1
+        return excess, first, to
+
+
+def _search(a: np.ndarray, b: np.ndarray, width: int, threshold: float, shift: int | None) -> tuple[int, int, int, int] | None:
+    """Passages (from and to of each, ends excluded) of a and b that reach the threshold and `width`, or None if there are none.
+
+    Passages reach the threshold if their shingles in common are at least threshold / (1 + threshold) of the places in both. Sets of ranges of a, each with its first and last start and end, are halved: the
+    largest range of a set, its best partner and the smallest range bound what the set can reach, and sets that cannot reach it are left. A set of one range is exact.
+    shift: a and b are of one text, b[0] stands so far behind a[0], and the passage of b has to start behind that of a.
     """
+    n, m, share = len(a), len(b), threshold / (1 + threshold)
+    if min(n, m) < width:
+        return None
+    if _room(_shared(a, b), width, share) < share * width - SLIP or _room(_shared(b, a), width, share) < share * width - SLIP:
+        return None
+    ids = np.unique(np.concatenate((a, b)), return_inverse=True)[1]
+    a, b, kinds = ids[:n], ids[n:], int(ids.max()) + 1
+    if shift is None:  # most passages are found by turns: the best range of b for that of a, and the other way about
+        own = (0, n)
+        for _ in range(3):
+            other = _best(np.bincount(a[own[0] : own[1]], minlength=kinds)[b] > 0, width, share)
+            counts = np.bincount(b[other[0] : other[1]], minlength=kinds)
+            own = _best(counts[a] > 0, width, share)
+            both = np.minimum(counts, np.bincount(a[own[0] : own[1]], minlength=kinds)).sum()
+            if both >= share * (own[1] - own[0] + other[1] - other[0]) - SLIP:
+                return _widened(a, b, own, other, width, share, None)
+    same = a[:, None] == b
+    partners = _Partners(same, b, width, share)
+    sets, hope = np.array([[0, n - width, width, n]]), np.zeros(1)
+    while len(sets):  # the sets that come next to the threshold first
+        a0, a1, e0, e1 = sets[:STEP].T
+        need, fit = share * np.maximum(width, e0 - a1) - SLIP, share * (e1 - a0) - SLIP
+        excess, first, to = partners.of(a0, e1, np.zeros_like(e0) if shift is None else np.maximum(0, e0 - shift), need, fit)
+        fits = excess >= fit
+        if shift is not None:
+            fits &= first >= e1 - shift
+        if fits.any():
+            k = int(np.argmax(np.where(fits, e1 - a0, 0)))
+            return _widened(a, b, (int(a0[k]), int(e1[k])), (int(first[k]), int(to[k])), width, share, shift)
+        left = (excess >= need) & ((a1 > a0) | (e1 > e0))
+        a0, a1, e0, e1, close = *sets[:STEP][left].T, (excess - fit)[left]
+        am, em = (a0 + a1) // 2, (e0 + e1) // 2
+        halves = [(*s, *e) for s in ((a0, am), (am + 1, a1)) for e in ((em + 1, e1), (e0, em))]
+        more = np.concatenate([np.stack(x, axis=1) for x in halves])
+        real = (more[:, 0] <= more[:, 1]) & (more[:, 2] <= more[:, 3]) & (more[:, 3] - more[:, 0] >= width)
+        sets, hope = np.concatenate((more[real], sets[STEP:])), np.concatenate((np.tile(close, 4)[real], hope[STEP:]))
+        if len(sets) > STEP:
+            order = np.argsort(-hope, kind="stable")
+            sets, hope = sets[order], hope[order]
+    return None
+
+
+def _widened(x: np.ndarray, y: np.ndarray, own: tuple[int, int], other: tuple[int, int], width: int, share: float, shift: int | None) -> tuple[int, int, int, int]:
+    """The passages own of x and other of y (numbers of shingles) without what is not shared at their ends, as far as `width` allows, and then with all beyond their ends up to the last shared shingle that the threshold allows."""
+    kinds = int(max(x.max(), y.max())) + 1
+    once = max(np.bincount(x).max(), np.bincount(y).max()) == 1
+
+    def trimmed(s: np.ndarray, at: tuple[int, int], counts: np.ndarray) -> tuple[int, int]:
+        shared = np.flatnonzero(counts[s[at[0] : at[1]]])
+        start = min(at[0] + int(shared[0]), at[1] - width)
+        return start, max(at[0] + int(shared[-1]) + 1, start + width)
+
+    def end(s: np.ndarray, start: int, to: int, counts: np.ndarray, size: int) -> int:
+        one = s[start:]
+        counted = counts[one] > (0 if once else _ranks(one))
+        more = np.flatnonzero(counted & (np.cumsum(counted - share) >= share * size - SLIP))
+        return max(to, start + int(more[-1]) + 1) if len(more) else to
+
+    of = lambda s, at: np.bincount(s[at[0] : at[1]], minlength=kinds)
+    own = trimmed(x, own, of(y, other))
+    other = trimmed(y, other, of(x, own))
+    counts, size = of(y, other), other[1] - other[0]
+    own = own[0], end(x if shift is None else x[: other[0] + shift], own[0], own[1], counts, size)
+    own = len(x) - end(x[::-1], len(x) - own[1], len(x) - own[0], counts, size), own[1]
+    counts, size = of(x, own), own[1] - own[0]
+    other = other[0], end(y, other[0], other[1], counts, size)
+    back = y[::-1] if shift is None else y[max(0, own[1] - shift) :][::-1]
+    other = len(y) - end(back, len(y) - other[1], len(y) - other[0], counts, size), other[1]
+    return *own, *other
+
+
+def _run(a: np.ndarray, ca: int, b: np.ndarray, cb: int) -> tuple[int, int]:
+    """How many shingles before a[ca] = b[cb], and from there on, a and b have in common without a gap."""
     n = min(len(a) - ca, len(b) - cb)
     off = np.flatnonzero(a[ca : ca + n] != b[cb : cb + n])
     right = int(off[0]) if len(off) else n
     m = min(ca, cb)
     off = np.flatnonzero(a[ca - m : ca][::-1] != b[cb - m : cb][::-1])
-    left = int(off[0]) if len(off) else m
-    if left + right >= width:
+    return int(off[0]) if len(off) else m, right
+
+
+def agree(a: np.ndarray, ca: int, b: np.ndarray, cb: int, width: int, threshold: float, shift: int | None = None) -> tuple[int, int, int, int] | None:
+    """The passages (a from, a to, b from, b to; ends included) of a and b that reach the threshold and `width`, or None if there are none.
+
+    What a and b have in common on both sides of a[ca] = b[cb] is one if it is long enough, else all passages of a and b are looked for: their similarity is that of multisets, whatever
+    the order of shingles is. shift: a and b are of one text, b[0] stands so far behind a[0], and the passages must not overlap.
+    """
+    left, right = _run(a, ca, b, cb)
+    if left + right >= width and (shift is None or abs(cb + shift - ca) >= left + right):
         return ca - left, ca + right - 1, cb - left, cb + right - 1
-    where: dict[int, list[int]] = {}
-    for j, x in enumerate(b.tolist()):
-        where.setdefault(x, []).append(j)
-    chain = [(ca, cb)]
-    values = a.tolist()
-    at = cb
-    for i in range(ca + 1, len(values)):
-        j = next((j for j in where.get(values[i], ()) if at < j <= at + width), None)
-        if j is not None:
-            chain.append((i, j))
-            at = j
-    at = cb
-    for i in range(ca - 1, -1, -1):
-        j = next((j for j in reversed(where.get(values[i], ())) if at - width <= j < at), None)
-        if j is not None:
-            chain.insert(0, (i, j))
-            at = j
-    i, j = 0, len(chain) - 1
-    while j > i:
-        size_a, size_b, both = chain[j][0] - chain[i][0] + 1, chain[j][1] - chain[i][1] + 1, j - i + 1
-        more = max(0, width - min(size_a, size_b))
-        if both < threshold * (2 * width - both) and more:  # what is dropped from here on only makes it less
-            return None
-        before, after = min(chain[i]), min(len(a) - 1 - chain[j][0], len(b) - 1 - chain[j][1])
-        for x, y in ((more, more), (min(more, before), max(0, more - before))):
-            if x <= before and y <= after and both >= threshold * (size_a + size_b + 2 * (x + y) - both):
-                return chain[i][0] - x, chain[j][0] + y, chain[i][1] - x, chain[j][1] + y
-        first, last = max(chain[i + 1][k] - chain[i][k] for k in (0, 1)), max(chain[j][k] - chain[j - 1][k] for k in (0, 1))
-        i, j = (i + 1, j) if first >= last else (i, j - 1)
-    return None
+    if shift is not None and cb + shift < ca:
+        hit = _search(b, a, width, threshold, -shift)
+        return hit and (hit[2], hit[3] - 1, hit[0], hit[1] - 1)
+    hit = _search(a, b, width, threshold, shift)
+    return hit and (hit[0], hit[1] - 1, hit[2], hit[3] - 1)
+
+
+def agree_within(a: np.ndarray, ca: int, b: np.ndarray, cb: int, width: int, threshold: float, shift: int) -> list[tuple[int, int, int, int]]:
+    """As agree, for a and b of one text. A run that a and b have in common may reach into its own copy: then its pieces are passages, each as long as the text goes on before the next copy that does not overlap it."""
+    left, right = _run(a, ca, b, cb)
+    far = abs(cb + shift - ca)
+    copies = -(-width // far)
+    size, far = left + right - (copies - 1) * far, copies * far
+    if size < width:
+        hit = agree(a, ca, b, cb, width, threshold, shift)
+        return [hit] if hit else []
+    pieces = [(min(k, size - width), min(k + far, size)) for k in range(0, size, far)]
+    if cb + shift > ca:
+        return [(ca - left + i, ca - left + j - 1, ca - left + i + far - shift, ca - left + j - 1 + far - shift) for i, j in pieces]
+    return [(cb - left + i + far + shift, cb - left + j - 1 + far + shift, cb - left + i, cb - left + j - 1) for i, j in pieces]
 
 
 #: Shingles that are scanned at once.
@@ -330,8 +487,6 @@ def _verified(sent: DataFrame, width: int, threshold: float, reach: int) -> Data
 
     A hub's texts come in parts, each with a copy of the hub's shingles, so neither a frequent hub nor its texts meet in one task. A place that lies in what is found already is not looked at again.
     """
-    need = math.ceil(threshold * 2 * width / (1 + threshold) - 1e-9)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, hub, done = None, None, None
         for batch in batches:
@@ -350,11 +505,12 @@ def _verified(sent: DataFrame, width: int, threshold: float, reach: int) -> Data
                     k = int(np.searchsorted(first, c, side="right")) - 1
                     lo, hlo = max(0, c - first[k] - reach), max(0, hc - reach)
                     x, y = own[k][lo : c - first[k] + reach + 1], hub[hlo : hc + reach + 1]
-                    if np.isin(x, y).sum() < need:
-                        continue
-                    hit = agree(x, c - first[k] - lo, y, hc - hlo, width, threshold)
-                    if hit and not (t == ht and hit[0] + first[k] + lo <= hit[3] + hlo and hit[2] + hlo <= hit[1] + first[k] + lo):
-                        found.append((hit[0] + first[k] + lo, hit[1] + first[k] + lo + 1, hit[2] + hlo, hit[3] + hlo + 1))
+                    place = first[k] + lo
+                    if t == ht:
+                        hits = agree_within(x, c - place, y, hc - hlo, width, threshold, hlo - place)
+                    else:
+                        hits = [agree(x, c - place, y, hc - hlo, width, threshold)]
+                    found += [(h[0] + place, h[1] + place + 1, h[2] + hlo, h[3] + hlo + 1) for h in hits if h]
                 rows += [(t, a, b + SHINGLE - 1, ht, ha, hb + SHINGLE - 1) for a, b, ha, hb in found]
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["t", "a", "b", "ht", "ha", "hb"])

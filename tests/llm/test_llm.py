@@ -1,6 +1,7 @@
 """The training-data operators against brute force on small fixtures."""
 
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -166,6 +167,70 @@ def test_single_edits_at_all_places_equal_brute_force(n):
                     assert both >= 0.8 * (j - i + m - k + 2 - both)
 
 
+def best_similarity(a, b, width, shift=None):
+    """The largest multiset similarity of two ranges of `width` or more, all of them tried; shift: b's range starts behind a's in one text."""
+    best = 0.0
+    for i in range(len(a) - width + 1):
+        for e in range(i + width, len(a) + 1):
+            for j in range(max(0, e - shift if shift is not None else 0), len(b) - width + 1):
+                left, both = Counter(a[i:e].tolist()), 0
+                for f in range(j, len(b)):
+                    both += left[int(b[f])] > 0
+                    left[int(b[f])] -= 1
+                    if f + 1 - j >= width:
+                        best = max(best, both / (e - i + f + 1 - j - both))
+    return best
+
+
+@pytest.mark.parametrize("kinds", [6, 60])
+def test_agree_equals_brute_force_on_moved_and_repeated_shingles(kinds):
+    rng = np.random.default_rng(kinds)
+    seen = Counter()
+    for _ in range(250):
+        width, threshold = int(rng.integers(3, 8)), float(rng.choice([0.5, 0.6, 0.75, 0.8]))
+        a = rng.integers(0, kinds, int(rng.integers(width, 17))).astype(np.uint32)
+        i, j = sorted(int(x) for x in rng.integers(0, len(a) + 1, 2))
+        b = np.concatenate((a[j:], a[i:j], a[:i], a[:2]))  # parts change places
+        b[int(rng.integers(len(b)))] = kinds
+        shift = int(rng.integers(0, 10)) if rng.random() < 0.3 else None
+        at = [(x, y) for x in range(len(a)) for y in range(len(b)) if a[x] == b[y] and (shift is None or y + shift > x)]
+        if not at:
+            continue
+        ca, cb = at[int(rng.integers(len(at)))]
+        hit, want = passages.agree(a, ca, b, cb, width, threshold, shift), best_similarity(a, b, width, shift) >= threshold - 1e-9
+        assert (hit is not None) == want, (a, b, ca, cb, width, threshold, shift)
+        seen[want] += 1
+        if hit:
+            x, y = a[hit[0] : hit[1] + 1], b[hit[2] : hit[3] + 1]
+            both = (Counter(x.tolist()) & Counter(y.tolist())).total()
+            assert min(len(x), len(y)) >= width and both >= threshold * (len(x) + len(y) - both) - 1e-9
+            assert shift is None or hit[2] + shift > hit[1]
+    assert len(seen) == 2
+
+
+def test_a_phrase_in_another_place_hides_no_passage():
+    """One shingle of a passage stands far on in the other text too: what lies between must not be passed over."""
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 1 << 31, 60).astype(np.uint32)
+    b = np.concatenate((a[:30], rng.integers(0, 1 << 31, 2).astype(np.uint32), a[32:], rng.integers(0, 1 << 31, 5).astype(np.uint32), a[31:32]))
+    for c in (0, 20, 40, 59):
+        assert passages.agree(a, c, b, c, 46, 0.8)
+    swapped = np.concatenate((a[30:], a[:30]))
+    assert passages.agree(a, 10, swapped, 40, 46, 0.8)
+
+
+def test_copies_that_follow_each_other_in_one_text_are_passages(spark):
+    """A passage of 51 words three times in a row: every window of 50 words in it stands elsewhere too."""
+    rng = np.random.default_rng(6)
+    words = lambda n: [f"v{x}" for x in rng.integers(0, 5000, n)]
+    docs = [(k, " ".join(words(20) + 3 * words(51) + words(20))) for k in range(8)]
+    for r in (got := passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()):
+        assert 16 <= r.start_word and r.end_word <= 177, r
+    want = brute_force_windows(docs)
+    lost = [(d, i) for d, i in want if not any(r.doc_id == d and r.start_word <= i and r.end_word >= i + 50 for r in got)]
+    assert len(want) == 8 * 104 and not lost
+
+
 def test_a_passage_at_the_threshold_shares_a_signature():
     assert (1 - passages.THRESHOLD) ** passages.HASHES < 1e-4
 

@@ -147,12 +147,26 @@ def _room(shared: np.ndarray, width: int, share: float) -> float:
     return float((p[width:] - np.minimum.accumulate(p[: len(p) - width])).max())
 
 
-def _best(shared: np.ndarray, width: int, share: float) -> tuple[int, int]:
-    """The range of `width` or more whose shared places exceed its share of places most."""
-    p = np.zeros(len(shared) + 1)
-    np.cumsum(shared - share, out=p[1:])
-    to = int((p[width:] - np.minimum.accumulate(p[: len(p) - width])).argmax())
-    return int(p[: to + 1].argmin()), to + width
+def _in_order(a: np.ndarray, b: np.ndarray, kinds: int, width: int, share: float) -> tuple[tuple[int, int], tuple[int, int]] | None:
+    """Ranges of a and b (numbers of shingles) that have enough in common, of those between two shingles that stand once in both, in the same order; or None, which says nothing about others."""
+    at = np.full(kinds, -1)
+    at[b] = np.arange(len(b))
+    once = (np.bincount(a, minlength=kinds) == 1) & (np.bincount(b, minlength=kinds) == 1)
+    x = np.flatnonzero(once[a])
+    y = at[a[x]]
+    fits = np.maximum.accumulate(y) == y
+    x, y = x[fits], y[fits]
+    start = np.minimum(np.searchsorted(x, x - width + 1, side="right"), np.searchsorted(y, y - width + 1, side="right")) - 1
+    last = np.flatnonzero(start >= 0)
+    if not len(last):
+        return None
+    worth = np.arange(len(x)) - share * (x + y)
+    gain = worth[last] - np.minimum.accumulate(worth)[start[last]]
+    k = last[int(gain.argmax())]
+    first = int(worth[: start[k] + 1].argmin())
+    own, other = (int(x[first]), int(x[k]) + 1), (int(y[first]), int(y[k]) + 1)
+    both = np.minimum(np.bincount(a[own[0] : own[1]], minlength=kinds), np.bincount(b[other[0] : other[1]], minlength=kinds)).sum()
+    return (own, other) if both >= share * (own[1] - own[0] + other[1] - other[0]) - SLIP else None
 
 
 #: Ranges that are looked at in one step, and what a sum of shares may be off by.
@@ -225,15 +239,8 @@ def _search(a: np.ndarray, b: np.ndarray, width: int, threshold: float, shift: i
         return None
     ids = np.unique(np.concatenate((a, b)), return_inverse=True)[1]
     a, b, kinds = ids[:n], ids[n:], int(ids.max()) + 1
-    if shift is None:  # most passages are found by turns: the best range of b for that of a, and the other way about
-        own = (0, n)
-        for _ in range(3):
-            other = _best(np.bincount(a[own[0] : own[1]], minlength=kinds)[b] > 0, width, share)
-            counts = np.bincount(b[other[0] : other[1]], minlength=kinds)
-            own = _best(counts[a] > 0, width, share)
-            both = np.minimum(counts, np.bincount(a[own[0] : own[1]], minlength=kinds)).sum()
-            if both >= share * (own[1] - own[0] + other[1] - other[0]) - SLIP:
-                return _widened(a, b, own, other, width, share, None)
+    if shift is None and (hit := _in_order(a, b, kinds, width, share)):
+        return _widened(a, b, *hit, width, share, None)
     same = a[:, None] == b
     partners = _Partners(same, b, width, share)
     sets, hope = np.array([[0, n - width, width, n]]), np.zeros(1)
@@ -387,11 +394,10 @@ def _tree(windows: DataFrame, width: int, hot: bool) -> DataFrame:
         return rows.join(rows.groupBy(*keys).agg(F.min(me).alias(name)), keys)
 
     rows = windows.withColumn("_r1", F.expr(_NEAR_RIGHT)).withColumn("_r2", F.expr(_RIGHT))
-    rows = rows if hot else rows.repartition("v")
+    if not hot:  # most signatures stand alone
+        rows = rows.repartition("v").withColumn("_n", F.count("*").over(Window.partitionBy("v"))).where("_n > 1").drop("_n")
     # The finest groups first: the larger ones are in order then too.
     rows = with_hub(with_hub(with_hub(rows, ["v", "_r1", "_r2"], "h_r2"), ["v", "_r1"], "h_r1"), ["v"], "h0")
-    if not hot:
-        rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy("v"))).where("_n > 1").drop("_n")
     rows = rows.withColumn("_l1", F.expr(_NEAR_LEFT)).withColumn("_l2", F.expr(_LEFT))
     rows = with_hub(with_hub(rows, ["v", "_l1", "_l2"], "h_l2"), ["v", "_l1"], "h_l1")
     other = lambda h: (F.col(h)["t"] != F.col("t")) | (F.col(h)["place"] != F.col("place"))

@@ -189,7 +189,7 @@ class _Partners:
             self.order = np.argsort(b, kind="stable")
             self.place = np.empty(self.m, dtype=np.int64)
             self.place[self.order] = np.arange(self.m)
-            self.starts, places = np.arange(self.m + 1 - width), np.arange(self.m)[:, None]
+            self.starts, places = np.arange(self.m + 1 - width, dtype=np.int32), np.arange(self.m, dtype=np.int32)[:, None]
             self.behind = places >= self.starts
             self.cost = np.where(places - self.starts < width - 1, np.inf, share * (places + 1 - self.starts))
 
@@ -215,6 +215,7 @@ class _Partners:
         for k in np.flatnonzero((excess >= need) & loose):
             after = np.where(self.rank >= count[k], self.order[self.place - np.minimum(count[k], self.rank)], -1)
             after[~shared[k]] = self.m
+            after = after.astype(np.int32)
             z = least[k]
             if z > self.m - self.width:
                 excess[k] = -np.inf
@@ -241,7 +242,7 @@ def _search(a: np.ndarray, b: np.ndarray, width: int, threshold: float, shift: i
     a, b, kinds = ids[:n], ids[n:], int(ids.max()) + 1
     if shift is None and (hit := _in_order(a, b, kinds, width, share)):
         return _widened(a, b, *hit, width, share, None)
-    same = a[:, None] == b
+    same = a.astype(np.int32)[:, None] == b.astype(np.int32)
     partners = _Partners(same, b, width, share)
     sets, hope = np.array([[0, n - width, width, n]]), np.zeros(1)
     while len(sets):  # the sets that come next to the threshold first
@@ -257,10 +258,10 @@ def _search(a: np.ndarray, b: np.ndarray, width: int, threshold: float, shift: i
         left = (excess >= need) & ((a1 > a0) | (e1 > e0))
         a0, a1, e0, e1, close = *sets[:STEP][left].T, (excess - fit)[left]
         am, em = (a0 + a1) // 2, (e0 + e1) // 2
-        halves = [(*s, *e) for s in ((a0, am), (am + 1, a1)) for e in ((em + 1, e1), (e0, em))]
-        more = np.concatenate([np.stack(x, axis=1) for x in halves])
+        halves = np.array([(*s, *e) for s in ((a0, am), (am + 1, a1)) for e in ((em + 1, e1), (e0, em))])
+        more = halves.transpose(0, 2, 1).reshape(-1, 4)
         real = (more[:, 0] <= more[:, 1]) & (more[:, 2] <= more[:, 3]) & (more[:, 3] - more[:, 0] >= width)
-        sets, hope = np.concatenate((more[real], sets[STEP:])), np.concatenate((np.tile(close, 4)[real], hope[STEP:]))
+        sets, hope = np.concatenate((more[real], sets[STEP:])), np.concatenate((np.concatenate((close,) * 4)[real], hope[STEP:]))
         if len(sets) > STEP:
             order = np.argsort(-hope, kind="stable")
             sets, hope = sets[order], hope[order]

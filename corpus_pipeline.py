@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import decontaminate, langid, mixing, neardup, sharding
-from strandlake.llm.runtime import table, written
+from strandlake.llm.runtime import small_batches, table, written
 
 #: Shards of the last stage.
 SHARDS = 16
@@ -27,6 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     If no row has a language to learn from, only the first rule holds.
     """
+    small_batches(spark)
     model = langid.train(docs, F.lit(True))
     names = pred, score, ambiguous = _free(docs, "lang_pred", "score", "ambiguous")
     out = langid.identify(docs, model, names=names)
@@ -37,6 +38,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays, that with the smallest (doc_id, hash of the text), nulls last; one of those rows, if it is repeated."""
+    small_batches(spark)
     found = neardup.near_duplicates(docs.select("doc_id", "text"))
     key = lambda tk: [F.xxhash64(F.col("doc_id").cast("long"), tk).alias("a"), F.coalesce(tk, F.lit(0).cast("long")).alias("b")]
     kept = found.where("kept").select(*key(F.col("tk"))).distinct()
@@ -46,6 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    small_batches(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 

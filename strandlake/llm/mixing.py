@@ -5,10 +5,11 @@ from __future__ import annotations
 import heapq
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.runtime import MOST_BUCKETS, ROWS_PER_BUCKET, buckets_for, numbered
+from strandlake.llm.runtime import MOST_BUCKETS, ROWS_PER_BUCKET, buckets_for, numbered, small_table
 
 #: Bytes of a block.
 BLOCK_BYTES = 65_536
@@ -76,13 +77,13 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, alpha: floa
         period *= 2
     slots = shares(aim, period)
     # A row for each slot of a period: it grows with the sources (a quarter of it at most), not with the rows.
-    plan = spark.createDataFrame([(s, slots[s], j, r, d, t) for s, j, r, d, t in pfair(slots)], "_p_src string, _p_a int, _p_j int, _p_r int, _p_d int, _p_t int")
+    plan = small_table(spark, [(s, slots[s], j, r, d, t) for s, j, r, d, t in pfair(slots)], {"_p_src": pa.string(), **{f"_p_{k}": pa.int32() for k in "ajrdt"}})
     rows, size = sum(r["n"] for r in sums.values()), sum(r["b"] for r in sums.values())
     bits = buckets_for(rows, len(sums)).bit_length() - 1
     bucket = F.shiftright(F.conv(F.substring("_u", 1, 6), 16, 10).cast("int"), 24 - min(bits, 24))
     own = numbered(sized.withColumn("_b", bucket), ["_src"], "_b", [F.col("_u"), F.col("doc_id"), F.col("_size"), F.col("_t")], "_start", F.col("_size"))
     own = own.withColumn("block", F.expr(f"_start div {block_bytes}"))
-    per_source = F.broadcast(spark.createDataFrame([(s, slots[s]) for s in slots], "_q_src string, _q_a int"))
+    per_source = F.broadcast(small_table(spark, [(s, slots[s]) for s in slots], {"_q_src": pa.string(), "_q_a": pa.int32()}))
     own = own.join(per_source, F.col("_src") == F.col("_q_src")).withColumn("_j", F.pmod("block", "_q_a").cast("int")).withColumn("_r", F.expr("block div _q_a"))
     own = own.join(F.broadcast(plan), (F.col("_src") == F.col("_p_src")) & (F.col("_j") == F.col("_p_j")))
     own = own.select("*", *[(F.col("_r") * period + F.col(f"_p_{k}")).alias(c) for k, c in (("r", "release"), ("d", "deadline"), ("t", "mix_slot"))])

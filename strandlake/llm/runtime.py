@@ -7,6 +7,7 @@ import math
 import time
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +17,9 @@ ROWS_PER_BUCKET = 20_000
 #: Numbered buckets at most: their table of offsets is broadcast, and so stays below some 16 MB. Beyond that, buckets grow.
 MOST_BUCKETS = 1 << 18
 
+#: Rows of whole texts that Python gets at once: a batch lies in the executor's memory outside its heap, and again in the Python worker.
+BATCH_ROWS = 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one of our own on a local master; on a cluster that is an error."""
@@ -67,6 +71,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_table(spark: SparkSession, rows: list[tuple], kinds: dict[str, pa.DataType]) -> DataFrame:
+    """A table of the driver's rows (kinds: the type of each column). It goes to the JVM by Arrow: createDataFrame of a list has executors start Python workers for it."""
+    return spark.createDataFrame(pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], names=list(kinds)))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on Python gets BATCH_ROWS rows at a time at most; a smaller number that is set stays. The rows are the same, only fewer lie in memory at once."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def buckets_for(rows: int, groups: int = 1) -> int:
     """A power of two of buckets with about ROWS_PER_BUCKET rows each, MOST_BUCKETS at most in all groups."""
     return 1 << max(0, min(math.ceil(math.log2(max(1, rows / ROWS_PER_BUCKET))), int(math.log2(max(1, MOST_BUCKETS / groups)))))

@@ -7,6 +7,7 @@ import zlib
 from itertools import groupby
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -179,3 +180,21 @@ def test_pipeline_shards_follow_the_mixing_schedule(spark, tmp_path):
     for shard in range(corpus_pipeline.SHARDS):
         rows = sorted((r.slot, position[r.doc_id]) for r in got if r.shard == shard)
         assert [s for s, _ in rows] == list(range(len(rows))) and [p for _, p in rows] == sorted(p for _, p in rows)
+
+
+def test_pipeline_sends_small_batches_and_mixes_without_python_workers(spark):
+    docs = spark.range(0, 2500, 1, 1).selectExpr("id as doc_id", "concat('word ', id) as text", "if(id % 3 = 0, 'a', 'b') as source", "cast(null as string) as lang")
+    plan = corpus_pipeline.mix(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("ExistingRDD", "Python", "Arrow"))
+    key, rows = "spark.sql.execution.arrow.maxRecordsPerBatch", docs.select("doc_id")
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        assert corpus_pipeline.language(spark, docs, "").count() == 2500
+        sizes = [r.n for r in rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [len(b)]}) for b in batches), "n long").collect()]
+        assert sum(sizes) == 2500 and max(sizes) <= 1000
+        spark.conf.set(key, "100")
+        corpus_pipeline.language(spark, docs, "")
+        assert spark.conf.get(key) == "100"
+    finally:
+        spark.conf.set(key, before)

@@ -176,13 +176,20 @@ STEP, SLIP = 16, 1e-9
 class _Partners:
     """For ranges of a the range of b, of `width` or more, whose shingles in common exceed its share of places most; shingles count as often as they stand in both."""
 
-    def __init__(self, same: np.ndarray, b: np.ndarray, width: int, share: float):
+    def __init__(self, a: np.ndarray, b: np.ndarray, kinds: int, width: int, share: float, shift: int | None):
         self.width, self.share, self.m = width, share, len(b)
         self.at = None
-        if same.sum(axis=0).max() > 1:
+        if np.bincount(a, minlength=kinds)[b].max() > 1:
+            same = a.astype(np.int32)[:, None] == b.astype(np.int32)
+            if shift is not None:  # of one text, only what stands before a place can be shared with it
+                same &= np.arange(len(a))[:, None] < np.arange(self.m) + shift
             self.before = np.concatenate((np.zeros((1, self.m), dtype=np.int32), np.cumsum(same, axis=0, dtype=np.int32)))
         else:  # where a has the shingle of each place
-            self.at = np.where(same.any(axis=0), same.argmax(axis=0), -1)
+            at = np.full(kinds, -1)
+            at[a] = np.arange(len(a))
+            self.at = at[b]
+            if shift is not None:
+                self.at[self.at >= np.arange(self.m) + shift] = -1
         self.rank = _ranks(b)
         self.often = self.rank.max() > 0
         if self.often:
@@ -211,16 +218,17 @@ class _Partners:
         for k in np.flatnonzero((excess >= fit) & ~loose):
             last = int(gain[k].argmax())
             first[k], to[k] = starts[k, : last + 1].argmin(), last + self.width
-        # Where b has a shingle more often than the range of a, each place counts only from behind as many places before it on.
+        # Where b has a shingle more often than the range of a, each place counts only from behind as many places before it on. Only starts and ends whose bound reaches need are looked at.
         for k in np.flatnonzero((excess >= need) & loose):
-            after = np.where(self.rank >= count[k], self.order[self.place - np.minimum(count[k], self.rank)], -1)
-            after[~shared[k]] = self.m
-            after = after.astype(np.int32)
-            z = least[k]
-            if z > self.m - self.width:
-                excess[k] = -np.inf
-                continue
-            sums = np.cumsum((after[z:, None] < self.starts[z:]) & self.behind[z:, z:], axis=0, dtype=np.int32) - self.cost[z:, z:]
+            low = need[k] - SLIP
+            ahead = np.maximum.accumulate(p[k, self.width :][::-1])[::-1] - starts[k]
+            z, y = (int(x) for x in np.flatnonzero(ahead >= low)[[0, -1]])
+            end = int(np.flatnonzero(gain[k] >= low)[-1]) + self.width
+            rows, cols = slice(z, end), slice(z, y + 1)
+            rank, have = self.rank[rows], count[k, rows]
+            after = np.where(rank >= have, self.order[self.place[rows] - np.minimum(have, rank)], -1)
+            after[have == 0] = self.m
+            sums = np.cumsum((after.astype(np.int32)[:, None] < self.starts[cols]) & self.behind[rows, cols], axis=0, dtype=np.int32) - self.cost[rows, cols]
             last, first[k] = divmod(int(sums.argmax()), sums.shape[1])
             excess[k], first[k], to[k] = sums[last, first[k]], first[k] + z, last + z + 1
         return excess, first, to
@@ -236,14 +244,19 @@ def _search(a: np.ndarray, b: np.ndarray, width: int, threshold: float, shift: i
     n, m, share = len(a), len(b), threshold / (1 + threshold)
     if min(n, m) < width:
         return None
-    if _room(_shared(a, b), width, share) < share * width - SLIP or _room(_shared(b, a), width, share) < share * width - SLIP:
+    poor = lambda shared: _room(shared, width, share) < share * width - SLIP
+    if shift is None and (poor(_shared(a, b)) or poor(_shared(b, a))):
         return None
     ids = np.unique(np.concatenate((a, b)), return_inverse=True)[1]
     a, b, kinds = ids[:n], ids[n:], int(ids.max()) + 1
+    if shift is not None:  # a place of a is shared with what stands behind it, one of b with what stands before it
+        first, last = np.full(kinds, n + m + abs(shift)), np.full(kinds, -n - m - abs(shift))
+        first[a[::-1]], last[b] = np.arange(n)[::-1], np.arange(m)
+        if poor(last[a] + shift > np.arange(n)) or poor(first[b] < np.arange(m) + shift):
+            return None
     if shift is None and (hit := _in_order(a, b, kinds, width, share)):
         return _widened(a, b, *hit, width, share, None)
-    same = a.astype(np.int32)[:, None] == b.astype(np.int32)
-    partners = _Partners(same, b, width, share)
+    partners = _Partners(a, b, kinds, width, share, shift)
     sets, hope = np.array([[0, n - width, width, n]]), np.zeros(1)
     while len(sets):  # the sets that come next to the threshold first
         a0, a1, e0, e1 = sets[:STEP].T

@@ -219,6 +219,16 @@ def test_a_phrase_in_another_place_hides_no_passage():
     assert passages.agree(a, 10, swapped, 40, 46, 0.8)
 
 
+def test_a_text_shares_nothing_with_itself_where_it_stands(monkeypatch):
+    x = np.random.default_rng(5).integers(1, 1 << 40, 300)
+    x[160:230] = x[20:90]
+    assert passages._search(x[:200], x[100:], 46, 0.8, 100) is not None
+    monkeypatch.setattr(passages, "_Partners", None)  # without a copy, the search ends before it
+    y = np.random.default_rng(6).integers(1, 1 << 40, 300)
+    y[150] = y[50]
+    assert passages._search(y[:200], y[60:260], 46, 0.8, 60) is None
+
+
 def test_copies_that_follow_each_other_in_one_text_are_passages(spark):
     """A passage of 51 words three times in a row: every window of 50 words in it stands elsewhere too."""
     rng = np.random.default_rng(6)

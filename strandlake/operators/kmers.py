@@ -152,6 +152,19 @@ def prefix_counts(rows: DataFrame, bases: int = SYNCMER) -> DataFrame:
     return rows.groupBy(F.shiftright("k1", 2 * (HALF - bases)).alias("prefix")).agg(F.count("*").alias("n"))
 
 
+def sharing(rows: DataFrame, others: DataFrame, bases: int = SYNCMER) -> DataFrame:
+    """The rows of an index whose first bases begin a k-mer of the index `others` too.
+
+    What others begin with is one row, a bit for each of the 4**bases prefixes (2 MB for 12 bases, however long the indices are), so rows are looked up where they are made.
+    """
+    wide = 2 * (HALF - bases)
+    word, bit = f"shiftright(k1, {wide + 6})", f"cast(shiftright(k1, {wide}) & 63 as int)"
+    held = others.select(F.expr(word).alias("_w"), F.expr(f"shiftleft(1L, {bit})").alias("_b")).unionByName(rows.sparkSession.range(4**bases // 64).select(F.col("id").alias("_w"), F.lit(0).cast("long").alias("_b")))
+    marks = held.groupBy("_w").agg(F.bit_or("_b").alias("_b")).agg(F.array_sort(F.collect_list(F.struct("_w", "_b"))).alias("_x")).select(F.transform("_x", lambda x: x["_b"]).alias("_marks"))
+    known = F.expr(f"shiftrightunsigned(get(_marks, cast({word} as int)), {bit}) & 1L = 1L")
+    return rows.join(F.broadcast(marks), known, "left_semi")
+
+
 def _bound(prefix: str) -> tuple[int, int]:
     value = int("".join(str("acgt".index(b)) for b in prefix.lower()) or "0", 4)
     return value << 2 * (HALF - len(prefix)), (value + 1) << 2 * (HALF - len(prefix))

@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.operators.kmers import HALF, K, SYNCMER, words
+from strandlake.operators.kmers import HALF, K, SYNCMER, sharing, words
+from strandlake.storage import written
 
 #: A k-mer that matches so many or more is left out.
 FREQ = 10
@@ -104,12 +105,22 @@ def longest_prefix_matches(a: DataFrame, b: DataFrame, freq: int = FREQ, k: int
     return one(a).groupBy("part").cogroup(one(b).groupBy("part")).applyInArrow(run, _FOUND)
 
 
+def _met(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The k-mers of b that can match any of a, written once: a match has 12 bases at least, so the others are not dealt out."""
+    return written(sharing(b, a), "index")
+
+
 def adaptive_seeds(a: DataFrame, b: DataFrame, freq: int = FREQ, k: int = K, soft_mask: bool = False) -> DataFrame:
     """(len, actg, apos, bctg, bpos, comp) of the indices a and b (ctg, pos, neg, k1, k2, and mask with soft_mask): forward k-mers of a against both strands of b.
 
     With soft_mask a k-mer of either side that is masked over all of the match gives no seed; the cap holds before that.
     """
     ahead = a.where("not neg")
+    b = _met(ahead, b)
+    return _adaptive_seeds(ahead, b, freq, k, soft_mask)
+
+
+def _adaptive_seeds(ahead: DataFrame, b: DataFrame, freq: int, k: int, soft_mask: bool = False) -> DataFrame:
     met = longest_prefix_matches(ahead, b, freq, k)
     own = ["mask"] if soft_mask else []
     left = ahead.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("ctg").alias("actg"), F.col("pos").alias("apos"), *[F.col(c).alias(f"a{c}") for c in own])
@@ -121,11 +132,12 @@ def adaptive_seeds(a: DataFrame, b: DataFrame, freq: int = FREQ, k: int = K, sof
 
 def symmetric_seeds(a: DataFrame, b: DataFrame, freq: int = FREQ, k: int = K, unique: bool = True) -> DataFrame:
     """Seeds in both directions: those of `adaptive_seeds`, and those of the k-mers of b (both strands) against a of which the forward ones of a stay; unique drops what both have."""
+    b = _met(a, b)
     met = longest_prefix_matches(b, a, freq, k)
     left = b.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("ctg").alias("bctg"), F.col("pos").alias("bpos"), F.col("neg").alias("comp"))
     right = a.where("not neg").select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("ctg").alias("actg"), F.col("pos").alias("apos"))
     back = met.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).select("len", "actg", "apos", "bctg", "bpos", "comp")
-    both = adaptive_seeds(a, b, freq, k).unionByName(back)
+    both = _adaptive_seeds(a.where("not neg"), b, freq, k).unionByName(back)
     return both.distinct() if unique else both
 
 
@@ -157,6 +169,7 @@ def self_seeds(rows: DataFrame, freq: int = FREQ, k: int = K, buckets: int = BUC
 
 def similarity(a: DataFrame, b: DataFrame, k: int = K) -> DataFrame:
     """(len, kmers, unique_kmers): how many k-mers of index a have a longest match of which length in b, and how many of them with a single row on both sides."""
+    b = _met(a, b)
     met = longest_prefix_matches(a, b, 1 << 62, k)
     count = lambda df, x, y: df.groupBy(F.col("k1").alias(x), F.col("k2").alias(y)).agg(F.count("*").alias(f"n_{x}"))
     best = met.join(count(b, "b1", "b2"), ["b1", "b2"]).groupBy("a1", "a2", "len").agg(F.sum("n_b1").alias("nb"))

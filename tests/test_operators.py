@@ -120,6 +120,22 @@ def test_adaptive_seeds_equal_brute_force(spark):
     assert rows(seeds.adaptive_seeds(frame(a).limit(0), frame(b))) == [] == rows(seeds.adaptive_seeds(frame(a), frame(b).limit(0)))
 
 
+def test_only_kmers_that_can_match_are_dealt_out(spark, monkeypatch):
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("acgt") for _ in range(n))
+    core = letters(60)
+    a, b = [(0, core)], [(i, letters(400) + core[:48] + letters(400)) for i in range(4)]
+    frame = lambda x: kmers.index(spark.createDataFrame(x, "ctg long, seq string"), "ctg")
+    known = {k[:12] for _, _, _, k in plain_index(a)}
+    assert kmers.sharing(frame(b), frame(a)).count() == sum(k[:12] in known for _, _, _, k in plain_index(b)) > 0
+    assert kmers.sharing(frame(b), frame(a).limit(0)).count() == 0
+    dealt, plain = [], seeds.longest_prefix_matches
+    monkeypatch.setattr(seeds, "longest_prefix_matches", lambda x, y, *rest: dealt.append((x.count(), y.count())) or plain(x, y, *rest))
+    for run in (seeds.adaptive_seeds, seeds.symmetric_seeds, seeds.similarity):
+        run(frame(a), frame(b))
+    assert len(dealt) == 4 and all(max(n) < len(plain_index(b)) / 10 for n in dealt)
+
+
 @pytest.mark.parametrize(("gap", "chained"), [(1999, 1), (2000, 2), (2001, 2)])
 def test_chains_break_at_the_gap(spark, gap, chained):
     seed = lambda at: (40, 0, at, 0, at, False)

@@ -133,7 +133,7 @@ def with_mask(rows: DataFrame, mask: DataFrame, key: str, k: int = K) -> DataFra
     base = F.when(F.col("neg"), F.col("pos") - 1).otherwise(F.col("pos"))
     at = rows.withColumn("_at", base)
     spans = mask.select(key, F.col("beg").alias("rbeg"), F.col("end").alias("rend"))
-    hit = intervals.containing(at.select(key, "pos", "neg", "_at").distinct(), spans, key, "_at")
+    hit = intervals.holding(at.select(key, "pos", "neg", "_at").distinct(), spans, key, "_at")
     hit = hit.select(F.col(key).alias("_k"), F.col("pos").alias("_p"), F.col("neg").alias("_s"), F.least(F.lit(k), F.when(F.col("neg"), F.col("pos") - F.col("rbeg")).otherwise(F.col("rend") - F.col("pos"))).cast("int").alias("mask"))
     both = rows.join(hit, (F.col(key) == F.col("_k")) & (F.col("pos") == F.col("_p")) & (F.col("neg") == F.col("_s")), "left")
     return both.select(*rows.columns, F.coalesce("mask", F.lit(0)).alias("mask"))

@@ -85,9 +85,9 @@ def annotations_on_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, contigs = sq._contigs(spark, sf_dir)
     contigs = written(contigs.drop("seq"), "contigs")
     rows = contigs.select("scaf", (F.col("sbeg") + F.expr("clen div 4")).alias("beg"), (F.col("sbeg") + F.col("clen")).alias("end"))
-    own = intervals_text.on_contigs(rows, contigs)
+    own = written(intervals_text.on_contigs(rows, contigs), "on-contigs")
     back = intervals_text.on_scaffolds(own.select("scaf", "ctg", "beg", "end", F.col("ctg").alias("of")), contigs)
-    return own.join(back.select("scaf", F.col("of").alias("ctg"), F.col("beg").alias("back")), ["scaf", "ctg"])
+    return own.join(back.select("scaf", F.col("of").alias("ctg"), F.col("beg").alias("back")).hint("merge"), ["scaf", "ctg"])
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:

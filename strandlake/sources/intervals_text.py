@@ -38,7 +38,7 @@ def on_contigs(rows: DataFrame, contigs: DataFrame) -> DataFrame:
     """(scaf, ctg, beg, end, ...): annotations of scaffolds in the coordinates of the contig (scaf, ctg, sbeg, clen) in which they begin; one that begins in a gap belongs to none."""
     spans = contigs.select("scaf", "ctg", "sbeg", F.col("sbeg").alias("rbeg"), (F.col("sbeg") + F.col("clen")).alias("rend"))
     keyed = rows.withColumnsRenamed({"beg": "_beg", "end": "_end"}).withColumn("at", F.col("_beg"))
-    hit = intervals.containing(keyed, spans, "scaf", "at")
+    hit = intervals.holding(keyed, spans, "scaf", "at")
     others = [c for c in rows.columns if c not in ("scaf", "beg", "end")]
     return hit.select("scaf", "ctg", (F.col("_beg") - F.col("sbeg")).alias("beg"), (F.col("_end") - F.col("sbeg")).alias("end"), *others)
 
@@ -46,4 +46,4 @@ def on_contigs(rows: DataFrame, contigs: DataFrame) -> DataFrame:
 def on_scaffolds(rows: DataFrame, contigs: DataFrame) -> DataFrame:
     """The inverse of on_contigs."""
     others = [c for c in rows.columns if c not in ("scaf", "ctg", "beg", "end")]
-    return rows.join(contigs.select("scaf", "ctg", "sbeg"), ["scaf", "ctg"]).select("scaf", (F.col("beg") + F.col("sbeg")).alias("beg"), (F.col("end") + F.col("sbeg")).alias("end"), *others)
+    return rows.join(contigs.select("scaf", "ctg", "sbeg").hint("merge"), ["scaf", "ctg"]).select("scaf", (F.col("beg") + F.col("sbeg")).alias("beg"), (F.col("end") + F.col("sbeg")).alias("end"), *others)

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from strandlake.operators import chains, intervals, kmers, ordered, seeds, sequences, stats
+from strandlake.sources import intervals_text
 
 
 def rows(df):
@@ -50,6 +51,21 @@ def test_overlaps_equal_brute_force(spark):
     assert got == sorted((g, x, y, s, t) for g, x, y in a for h, s, t in b if g == h and x < t and s < y and x < y and s < t)
 
 
+def test_points_in_intervals_equal_brute_force_without_a_broadcast(spark):
+    rng = random.Random(3)
+    spans, points = [], []
+    for g in range(3):
+        cuts = sorted(rng.sample(range(400_000), 40)) + [500_000, 900_000]
+        spans += [(g, b, e, f"{g}.{b}") for b, e in zip(cuts[::2], cuts[1::2], strict=True)] + [(g, cuts[1], cuts[1], "empty")]
+        points += [(g, x) for x in [*cuts, *(c - 1 for c in cuts), *(rng.randrange(1_000_000) for _ in range(50))]]
+    points += [(None, 5), (1, None), (7, 3)]
+    got = intervals.holding(spark.createDataFrame(points, "g int, at long"), spark.createDataFrame(spans, "g int, rbeg long, rend long, name string"), "g", "at")
+    assert rows(got) == sorted((g, x, b, e, n) for g, x in points for h, b, e, n in spans if g == h and x is not None and b <= x < e)
+    own = spark.createDataFrame([(g, i, b, e - b) for i, (g, b, e, _) in enumerate(spans)], "scaf int, ctg int, sbeg long, clen long")
+    back = intervals_text.on_scaffolds(intervals_text.on_contigs(own.selectExpr("scaf", "sbeg as beg", "sbeg + clen as end"), own), own)
+    assert "Broadcast" not in back._jdf.queryExecution().executedPlan().toString() and back.count() == len(spans) - 3
+
+
 def test_empty_intervals(spark):
     none = spark.createDataFrame([], "g int, beg long, end long")
     lengths = spark.createDataFrame([(1, 50)], "g int, clen long")

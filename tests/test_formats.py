@@ -265,3 +265,34 @@ def test_typed_line_files(spark, tmp_path):
     (tmp_path / "aln").write_text("1 3 aln 2 1\nA 0 0 5 0 0 5\n")
     with pytest.raises(Exception, match="no trace point spacing"):
         one.read_alignments(spark, str(tmp_path / "aln")).collect()
+
+
+def test_typed_line_files_are_bounded(spark):
+    from strandlake.sources import typed_lines as one
+
+    rows = spark.range(0, 40, 1, 1).selectExpr("concat('s', id) as name", "concat(repeat('acgt', 250000), 'N', repeat('Ac', id)) as seq")
+    path = fresh_path(spark, "one")
+    one.write_sequences(rows, path)
+    sizes = [r.n for r in spark.read.text(path, wholetext=True).selectExpr("length(value) as n").collect()]
+    assert len(sizes) > 1 and max(sizes) < one.FILE + 2_000_000
+    assert one.read_sequences(spark, path).exceptAll(rows).isEmpty() and one.read_sequences(spark, path).count() == 40
+
+
+def test_masks_in_any_order(spark, tmp_path):
+    from strandlake.sources import typed_lines as one
+
+    (tmp_path / "x").write_text("1 3 seq 2 1\nS 8 acgtacgt\nM 4 5 6 1 3\nS 2 ac\nI 1 y\nM 0\nS 1 g")
+    assert [tuple(r) for r in one.read_sequences(spark, str(tmp_path / "x")).collect()] == [("1", "AcgTAcGT"), ("y", "AC"), ("3", "g")]
+
+
+def test_python_gets_a_few_megabytes_at_a_time(spark, tmp_path):
+    from strandlake.plans.registry import BATCH_BYTES, table
+
+    spark.range(0, 3000, 1, 1).selectExpr("repeat('x', 20000) as text").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array([max(b.nbytes for b in batches)])], names=["n"])
+
+    assert max(r.n for r in table(spark, str(tmp_path), "documents").mapInArrow(run, "n long").collect()) < 2 * BATCH_BYTES

@@ -12,16 +12,41 @@ from pyspark.sql import functions as F
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _BASES = ("acgt" * 7)[:26]
+#: Bytes, about, that rows made of several sequences hold before they leave Python.
+HELD = 1 << 22
+
+
+_ASCII = (_LETTERS + _LETTERS.upper()).encode()
+_OTHERS = bytes(x for x in range(256) if x not in _ASCII)
+_PLAIN = bytes.maketrans(_ASCII, 2 * _BASES.encode())
+_CASED = bytes.maketrans(_ASCII + b".", (_BASES + _BASES.upper() + "N").encode())
+
+
+def _translated(text: Column, table: bytes, drop: bytes, lower: bool) -> Column:
+    """The bytes of a text by a table, some of them left out; Spark's own translate looks each character up in a map of strings. lower: the two other characters whose lower case is an ASCII letter count as such."""
+
+    def one(x: bytes | None) -> bytes | None:
+        if x is None:
+            return None
+        if lower and not x.isascii():
+            x = x.replace("\u212a".encode(), b"k").replace("\u0130".encode(), b"i")
+        return x.translate(table, drop)
+
+    @F.arrow_udf("string")
+    def run(x: pa.Array) -> pa.Array:
+        return pa.array([one(v.as_py()) for v in x.cast(pa.binary())], pa.binary()).cast(pa.string())
+
+    return run(text)
 
 
 def dna(text: Column) -> Column:
-    """The letters a to z of a text as bases, a deterministic bridge from prose to sequence."""
-    return F.translate(F.regexp_replace(F.lower(text), "[^a-z]", ""), _LETTERS, _BASES)
+    """The letters a to z of a text in lower case as bases, a deterministic bridge from prose to sequence."""
+    return _translated(text, _PLAIN, _OTHERS, True)
 
 
 def gapped_dna(text: Column) -> Column:
     """The letters of a text as bases in their own case, and each full stop as an N."""
-    return F.translate(F.regexp_replace(text, "[^A-Za-z.]", ""), _LETTERS + _LETTERS.upper() + ".", _BASES + _BASES.upper() + "N")
+    return _translated(text, _CASED, _OTHERS.replace(b".", b""), False)
 
 
 def reverse_complement(seq: Column) -> Column:
@@ -51,13 +76,25 @@ def _mapped(df: DataFrame, keep: list[str], kind: str, make) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seqs = batch.column(len(keep))
-            for row in range(len(batch)):
-                made = make(seqs[row].as_py())
+            at, cols, held = [], [[] for _ in names], 0
+
+            def out() -> pa.RecordBatch:
+                own = batch.select(list(range(len(keep)))).take(pa.array(np.concatenate(at)))  # noqa: B023
+                return pa.RecordBatch.from_arrays([*own.columns, *(pa.array(x, t) for x, t in zip(cols, arrow, strict=True))], names=[*keep, *names])  # noqa: B023
+
+            for row, seq in enumerate(batch.column(len(keep))):
+                made = make(text := seq.as_py())
                 size = len(made[0])
                 if size:
-                    own = [batch.column(i).take(pa.array(np.full(size, row))) for i in range(len(keep))]
-                    yield pa.RecordBatch.from_arrays([*own, *(pa.array(x, t) for x, t in zip(made, arrow, strict=True))], names=[*keep, *names])
+                    at.append(np.full(size, row))
+                    for x, y in zip(cols, made, strict=True):
+                        x += y
+                    held += len(text) + 32 * size
+                if held > HELD:
+                    yield out()
+                    at, cols, held = [], [[] for _ in names], 0
+            if at:
+                yield out()
 
     schema = ", ".join([*(f"`{k}` {fields[k]}" for k in keep), kind])
     return df.where("seq is not null").select(*keep, "seq").mapInArrow(run, schema)

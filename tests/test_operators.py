@@ -17,6 +17,12 @@ def test_contigs_lie_between_runs_of_n(spark):
     assert rows(sequences.contigs(df)) == [(0, 0, 2, 3, "ACG"), (0, 1, 6, 2, "TT"), (1, 0, 0, 4, "acgt")]
 
 
+def test_letters_become_bases_outside_the_jvm(spark):
+    df = spark.createDataFrame([(None,), ("",), ("Ab. z\n\u00e9",), ("\u212a\u0130\u017f",)], "t string").select(sequences.dna(sequences.F.col("t")).alias("d"), sequences.gapped_dna(sequences.F.col("t")).alias("g"))
+    assert [tuple(r) for r in df.collect()] == [(None, None), ("", ""), ("acc", "AcNc"), ("ga", "")]
+    assert "translate(" not in df._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("n", [0, 3, 4, 259, 600])
 def test_kmers_equal_brute_force(spark, n):
     seq = ("acgtt" * 200)[:n]

@@ -33,28 +33,51 @@ class Params:
 def best_predecessors(ab: np.ndarray, ae: np.ndarray, bb: np.ndarray, be: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
     """(score, previous or -1) of alignments sorted by where they begin on A.
 
-    Only alignments that end no more than `gap` before this one begins can come before it; ends so far, in order of their greatest, bound the search.
+    Only alignments that end no more than `gap` before this one begins can come before it, on either side. On B they are looked up in cells, each as wide as two searches
+    (so one cell holds all that a search wants, and each alignment lies in two), on A by the greatest end so far in that cell; of equally good ones the first stays.
     """
     n = len(ab)
     size = (ae - ab + be - bb).astype(np.float64)
-    score, prev = size.copy(), np.full(n, -1)
-    ends = np.maximum.accumulate(ae) if n else ae
-    for i in range(n):
-        first = int(np.searchsorted(ends[:i], ab[i] - p.gap))
-        if first == i:
-            continue
-        j = np.arange(first, i)
-        ga, gb = ab[i] - ae[j], bb[i] - be[j]
-        ea, eb = ae[i] - np.maximum(ab[i], ae[j]), be[i] - np.maximum(bb[i], be[j])
-        ok = (ga <= p.gap) & (gb <= p.gap) & (-ga <= p.overlap) & (-gb <= p.overlap) & (ea > 0) & (eb > 0) & (-ga < ae[j] - ab[j]) & (-gb < be[j] - bb[j])
-        if not ok.any():
-            continue
-        cost = p.gap_rate * (np.maximum(0, ga) + np.maximum(0, gb)) + p.overlap_rate * (np.maximum(0, -ga) + np.maximum(0, -gb))
-        value = np.where(ok, score[j] + ea + eb - cost, -np.inf)
-        k = int(np.argmax(value))
-        if value[k] > score[i]:
-            score[i], prev[i] = value[k], j[k]
-    return score, prev
+    prev = np.full(n, -1)
+    if not n:
+        return size, prev
+    low, width = int(be.min()), p.gap + int((be - bb).max()) + 1
+    cell = (be - low) // width
+    owner, who = np.concatenate((cell, cell - 1)), np.tile(np.arange(n), 2)
+    order = np.lexsort((who, owner))
+    owner, who = owner[order], who[order]
+    place = np.empty(2 * n, dtype=np.int64)
+    place[order] = np.arange(2 * n)
+    names, begin = np.unique(owner, return_index=True)
+    ends = ae[who]
+    for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), 2 * n], strict=True):
+        np.maximum.accumulate(ends[lo:hi], out=ends[lo:hi])
+    start = dict(zip(names.tolist(), begin.tolist(), strict=True))
+    upto = dict(start)
+    xe, ye, got = ae[who], be[who], np.zeros(2 * n)
+    xb, yb, names_of, best = ab.tolist(), bb.tolist(), who.tolist(), size.tolist()
+    rows = zip(xb, ae.tolist(), yb, be.tolist(), cell.tolist(), place[:n].tolist(), place[n:].tolist(), strict=True)
+    for i, (a0, a1, b0, b1, mine, one, two) in enumerate(rows):
+        c = (b0 - p.gap - low) // width
+        if a1 > a0 and b1 > b0 and c in start and (hi := upto[c]) > (lo := start[c]):
+            lo += int(ends[lo:hi].searchsorted(a0 - p.gap))
+            da, db = xe[lo:hi] - (a0 - p.gap), ye[lo:hi] - (b0 - p.gap)  # 0 where the gap is as wide as it may be
+            j = ((da.view(np.uint64) <= p.gap + min(p.overlap, a1 - a0 - 1)) & (db.view(np.uint64) <= p.gap + min(p.overlap, b1 - b0 - 1))).nonzero()[0]
+            if len(j):
+                oa, ob = da[j] - p.gap, db[j] - p.gap
+                na, nb = np.maximum(oa, 0), np.maximum(ob, 0)
+                cost = p.gap_rate * ((na - oa) + (nb - ob)) + p.overlap_rate * (na + nb)
+                value = got[lo:hi][j] + ((a1 - a0) - na) + ((b1 - b0) - nb) - cost
+                while (top := value[k := int(value.argmax())]) > best[i]:
+                    x = names_of[lo + int(j[k])]
+                    if xb[x] < a0 and yb[x] < b0:
+                        best[i], prev[i] = float(top), x
+                        break
+                    value[k] = -np.inf
+        got[one] = got[two] = best[i]
+        upto[mine] += 1
+        upto[mine - 1] += 1
+    return np.array(best), prev
 
 
 def cut(score: np.ndarray, prev: np.ndarray, size: np.ndarray, p: Params) -> list[tuple[float, list[int]]]:

@@ -117,6 +117,27 @@ def test_predecessors_equal_brute_force():
         assert np.allclose(score, want)
 
 
+def test_predecessors_are_looked_up_on_both_sides():
+    import time
+
+    def took(n):
+        rng = np.random.default_rng(6)
+        ab, bb = np.sort(rng.integers(0, 9000, n)), rng.integers(0, 200 * n * 100, n)
+        began = time.process_time()
+        alnchain.best_predecessors(ab, ab + 400, bb, bb + 400, alnchain.Params())
+        return time.process_time() - began
+
+    took(500)
+    assert took(24_000) < 14 * took(4000)  # all lie near each other on A, few on B
+
+
+def test_empty_alignments_have_no_predecessors():
+    ab, ae, bb, be = (np.array(x) for x in ([0, 50, 50, 90], [100, 50, 120, 190], [0, 60, 60, 70], [100, 60, 60, 170]))
+    score, prev = alnchain.best_predecessors(ab, ae, bb, be, alnchain.Params())
+    assert prev.tolist() == [-1, -1, -1, 0] and score[1] == 0
+    assert [len(x) for x in alnchain.best_predecessors(*(np.zeros(0, dtype=np.int64),) * 4, alnchain.Params())] == [0, 0]
+
+
 def test_alignments_are_chained(spark):
     rows = [(i, 0, 0, False, 1000 * i, 1000 * i + 900, 1000 * i + 50, 1000 * i + 950, 20_000) for i in range(12)] + [(50, 0, 0, True, 15_000, 15_500, 100, 600, 20_000), (60, 0, 0, False, 2000, 2100, 9000, 9100, 20_000)]
     df = spark.createDataFrame(rows, "aln long, ascaf long, bscaf long, comp boolean, abpos long, aepos long, bbpos long, bepos long, blen long")

@@ -214,6 +214,125 @@ def histogram(rows: DataFrame, low: int = 1, high: int | None = None, distinct:
     return each.select(count.alias("count"), (F.lit(1).cast("long") if distinct else F.col("count")).alias("w")).groupBy("count").agg(F.sum("w").alias("kmers"))
 
 
+#: Bases of the words whose hashes deal k-mers out, parts that they are dealt out to, bases that are cut at once, k-mers that are counted at once.
+MINIMIZER, PARTS, CUT, COUNTED = 15, 4096, 1 << 20, 1 << 21
+
+
+def _runs(code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, k-mers, part) of the runs of neighbouring k-mers, 255 at most, that hold the same least hash of a word; equal k-mers have equal parts."""
+    m = min(MINIMIZER, k)
+    h = word_codes(code, m).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    have, want = 1, k - m + 1
+    while have < want:
+        step = min(have, want - have)
+        h = np.minimum(h[: len(h) - step], h[step:])
+        have += step
+    cuts = np.concatenate((np.zeros(1, dtype=np.int64), np.flatnonzero(h[1:] != h[:-1]) + 1))
+    size = np.diff(np.append(cuts, len(h)))
+    times = (size + 254) // 255
+    turn = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    start = np.repeat(cuts, times) + 255 * turn
+    return start, np.minimum(255, np.repeat(size, times) - 255 * turn), (h[start] % np.uint64(PARTS)).astype(np.int32)
+
+
+def _cut(codes_of: list[np.ndarray], k: int) -> pa.RecordBatch:
+    """(part, sizes, bases): a row a part with the runs of k-mers of some sequences: how many k-mers each holds, in a byte, and its bases in two bits each, filled up to whole bytes."""
+    found, off = [], 0
+    for code in codes_of:
+        start, size, part = _runs(code, k)
+        found.append((start + off, size, part))
+        off += len(code)
+    start, size, part = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(part, kind="stable")
+    start, size, part = start[order], size[order], part[order]
+    wide = size + k - 1
+    room = (wide + 3) // 4
+    first = np.cumsum(room) - room
+    out = np.zeros(4 * int(room.sum()), dtype=np.uint8)
+    turn = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide)
+    out[np.repeat(4 * first, wide) + turn] = np.concatenate(codes_of)[np.repeat(start, wide) + turn]
+    four = out.reshape(-1, 4)
+    bits = (four[:, 0] << 6 | four[:, 1] << 4 | four[:, 2] << 2 | four[:, 3]).tobytes()
+    small = size.astype(np.uint8).tobytes()
+    at = np.concatenate((np.zeros(1, dtype=np.int64), np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]))
+    byte = np.append(first, len(four))[at].tolist()
+    at = at.tolist()
+    rows = [small[i:j] for i, j in zip(at, at[1:], strict=False)], [bits[i:j] for i, j in zip(byte, byte[1:], strict=False)]
+    return pa.RecordBatch.from_arrays([pa.array(part[at[:-1]], pa.int32()), *(pa.array(x, pa.binary()) for x in rows)], names=["part", "sizes", "bases"])
+
+
+def _kmers_of(size: np.ndarray, bits: np.ndarray, k: int, step: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(k1, k2) of runs of k-mers, some runs at a time."""
+    room = (size + k + 2) // 4
+    ends = np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum(room)))
+    for i in range(0, len(size), step):
+        own, b = size[i : i + step], bits[ends[i] : ends[min(i + step, len(size))]]
+        code = np.stack((b >> 6, b >> 4 & 3, b >> 2 & 3, b & 3), axis=1).ravel()
+        at = np.repeat(4 * (ends[i : i + len(own)] - ends[i]), own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+        first = word_codes(code, min(k, HALF))
+        rest = word_codes(code, k - HALF)[at + HALF] if k > HALF else np.zeros(len(at), dtype=np.int64)
+        yield first[at], rest
+
+
+def frequencies(seqs: DataFrame, k: int, at_once: int = COUNTED) -> DataFrame:
+    """(count, n): how many different k-mers of sequences (seq) occur how often.
+
+    Neighbouring k-mers travel together, as the bases of a run that share the least hash of their words: about a byte a k-mer, whereas a row a k-mer has two dozen. A part's runs are unpacked and counted
+    in as many turns (by a hash of the k-mer) as its k-mers want, so a very common word makes a part long, not large.
+    """
+    if not 1 <= k <= 2 * HALF:
+        raise ValueError(f"k-mers have 1 to {2 * HALF} bases")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for seq in batch.column(0):
+                code = codes(seq.as_py())
+                for i in range(0, len(code) - k + 1, CUT):
+                    held.append(code[i : i + CUT + k - 1])
+                    size += len(held[-1])
+                    if size >= CUT:
+                        yield _cut(held, k)
+                        held, size = [], 0
+        if held:
+            yield _cut(held, k)
+
+    def count(own: pa.Table) -> pa.Table:
+        size = np.frombuffer(b"".join(own.column("sizes").to_pylist()), dtype=np.uint8).astype(np.int64)
+        bits = np.frombuffer(b"".join(own.column("bases").to_pylist()), dtype=np.uint8)
+        turns = -(-int(size.sum()) // at_once)
+        found: dict[int, int] = {}
+        for turn in range(turns):
+            parts = []
+            for k1, k2 in _kmers_of(size, bits, k):
+                if turns > 1:
+                    mine = ((k1 * 31 + k2) * 0x2545F491 >> 20) % turns == turn
+                    k1, k2 = k1[mine], k2[mine]
+                parts.append((k1, k2))
+            k1, k2 = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((k2, k1))
+            k1, k2 = k1[order], k2[order]
+            new = np.flatnonzero((k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])) + 1
+            times = np.diff(np.concatenate(([0], new, [len(k1)]))) if len(k1) else np.zeros(0, dtype=np.int64)
+            for c, n in zip(*(x.tolist() for x in np.unique(times, return_counts=True)), strict=True):
+                found[c] = found.get(c, 0) + n
+        return pa.table({"count": pa.array(list(found), pa.int64()), "n": pa.array(list(found.values()), pa.int64())})
+
+    runs = seqs.where(F.length("seq") >= k).select("seq").mapInArrow(cut, "part int, sizes binary, bases binary")
+    each = runs.groupBy("part").applyInArrow(count, "count long, n long")
+    return each.groupBy("count").agg(F.sum("n").alias("n"))
+
+
+def histogram_of(seqs: DataFrame, k: int, low: int = 1, high: int | None = None, distinct: bool = True) -> DataFrame:
+    """What `histogram` gives for all k-mers of sequences (seq), by `frequencies`."""
+    count = F.greatest(F.lit(low).cast("long"), F.col("count"))
+    count = count if high is None else F.least(F.lit(high).cast("long"), count)
+    weight = F.col("n") if distinct else F.col("count") * F.col("n")
+    return frequencies(seqs, k).select(count.alias("count"), weight.alias("w")).groupBy("count").agg(F.sum("w").alias("kmers"))
+
+
 def profiles(seqs: DataFrame, key: str, k: int) -> DataFrame:
     """(key, profile): for each sequence how often its k-mers occur in all sequences, in the order of their positions (one sequence's own array)."""
     rows = words(seqs, key, k)

@@ -32,6 +32,22 @@ def test_kmers_equal_brute_force(spark, n):
     assert rows(kmers.words(df, "id", 23)) == sorted((1, i, number(seq[i : i + 20]), number(seq[i + 20 : i + 23])) for i in range(n - 22))
 
 
+def test_kmers_that_travel_in_runs_are_counted_as_others(spark):
+    rng = random.Random(7)
+    letters = lambda n: "".join(rng.choice("acgt") for _ in range(n))
+    core = letters(300)
+    seqs = ["a" * 700, core, letters(50) + core + "ac" * 200, core[::-1], "acgt" * 10, "acg", "", None]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(seqs)], "id int, seq string").repartition(2)
+    for k in (1, 7, 16, 20, 21, 40):
+        assert rows(kmers.histogram_of(df, k)) == rows(kmers.histogram(kmers.words(df, "id", k)))
+        assert rows(kmers.histogram_of(df, k, 2, 20, distinct=False)) == rows(kmers.histogram(kmers.words(df, "id", k), 2, 20, distinct=False))
+    assert rows(kmers.frequencies(df.limit(0), 40)) == [] and rows(kmers.frequencies(df, 40, at_once=7)) == rows(kmers.frequencies(df, 40))
+    cut = kmers._cut([sequences.codes(letters(200_000))], 40)
+    assert sum(len(x.as_py()) for c in ("sizes", "bases") for x in cut.column(c)) < 1.3 * 200_000  # a row a k-mer has 24 bytes and more
+    size, bits = (kmers.np.frombuffer(b"".join(cut.column(c).to_pylist()), dtype=kmers.np.uint8) for c in ("sizes", "bases"))
+    assert sum(len(k1) for k1, _ in kmers._kmers_of(size.astype(int), bits, 40)) == 200_000 - 39
+
+
 def test_touching_intervals_are_merged(spark):
     df = spark.createDataFrame([(1, 0, 5), (1, 5, 7), (1, 9, 10), (1, 2, 3), (2, 6, 8)], "g int, beg long, end long")
     assert rows(intervals.union(df, "g")) == [(1, 0, 7), (1, 9, 10), (2, 6, 8)]

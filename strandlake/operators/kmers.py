@@ -111,6 +111,15 @@ def lcp(a1: Column, a2: Column, b1: Column, b2: Column, k: int = K) -> Column:
     return F.when(a1 == b1, HALF + same(a2, b2, k - HALF)).otherwise(same(a1, b1, HALF)).cast("int")
 
 
+def _bits(x: np.ndarray) -> np.ndarray:
+    return np.frexp(x.astype(np.float64))[1].astype(np.int64)
+
+
+def common(a1: np.ndarray, a2: np.ndarray, b1: np.ndarray, b2: np.ndarray, k: int) -> np.ndarray:
+    """Leading bases that k-mers have in common."""
+    return np.where(a1 == b1, HALF + (k - HALF) - (_bits(a2 ^ b2) + 1) // 2, HALF - (_bits(a1 ^ b1) + 1) // 2)
+
+
 def with_lcp(rows: DataFrame, k: int = K) -> DataFrame:
     """rows (k1, k2, ...) with lcp: the bases in common with the k-mer before in the order of all k-mers (0 for the first of a 12-mer, k for an equal one).
 
@@ -125,6 +134,65 @@ def with_lcp(rows: DataFrame, k: int = K) -> DataFrame:
     return both.select(*rows.columns, F.when(F.col("_turn") == 1, F.col("_first")).otherwise(k).cast("int").alias("lcp"))
 
 
+def lcp_counts(seqs: DataFrame, k: int = K, ranks: Sequence[int] = RANKS, at_once: int = 1 << 21) -> DataFrame:
+    """(lcp, n): how many k-mers of the index of sequences (seq) have how many bases in common with the one before, as `with_lcp` has them.
+
+    k-mers are dealt out by their first 12 bases, ten bytes each and nothing else; a part is sorted in as many turns (by a hash of these bases) as it wants.
+    """
+    check_k(k)
+    rank, shift = word_ranks(ranks), 2 * (HALF - SYNCMER)
+    mixed = lambda k1: ((k1 >> shift) * 0x9E3779B1) >> 7
+
+    def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        k1, k2 = (np.concatenate(x) for x in zip(*held, strict=True))
+        part = (mixed(k1) % PARTS).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        five = [x[order].astype("<i8").view(np.uint8).reshape(-1, 8)[:, :5].copy() for x in (k1, k2)]
+        at = np.concatenate((np.zeros(1, dtype=np.int64), np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)])).tolist()
+        cols = [pa.array([x[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)], pa.binary()) for x in five]
+        return pa.RecordBatch.from_arrays([pa.array(part[at[:-1]], pa.int32()), *cols], names=["part", "k1", "k2"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for seq in batch.column(0):
+                code = codes(seq.as_py())
+                at = syncmers(code, rank)
+                ahead, back = at[at <= len(code) - k], at[at >= k - SYNCMER]
+                held += [x for x in (_pairs(code, ahead, k), _pairs((3 - code)[::-1], len(code) - (back + SYNCMER), k)) if len(x[0])]
+                size += len(ahead) + len(back)
+                if size > CUT:
+                    yield packed(held)
+                    held, size = [], 0
+        if held:
+            yield packed(held)
+
+    def whole(data: list[bytes]) -> np.ndarray:
+        five = np.frombuffer(b"".join(data), dtype=np.uint8).reshape(-1, 5)
+        return sum(five[:, i].astype(np.int64) << 8 * i for i in range(5))
+
+    def count(own: pa.Table) -> pa.Table:
+        a1, a2 = (whole(own.column(c).to_pylist()) for c in ("k1", "k2"))
+        turns = -(-len(a1) // at_once)
+        found = np.zeros(k + 1, dtype=np.int64)
+        for turn in range(turns):
+            k1, k2 = a1, a2
+            if turns > 1:
+                mine = (mixed(a1) // PARTS) % turns == turn
+                k1, k2 = a1[mine], a2[mine]
+            order = np.lexsort((k2, k1))
+            k1, k2 = k1[order], k2[order]
+            same = common(k1[1:], k2[1:], k1[:-1], k2[:-1], k)
+            found += np.bincount(np.where(same < SYNCMER, 0, same), minlength=k + 1)
+            found[0] += min(1, len(k1))
+        some = np.flatnonzero(found)
+        return pa.table({"lcp": pa.array(some, pa.int32()), "n": pa.array(found[some], pa.int64())})
+
+    rows = seqs.where(F.length("seq") >= k).select("seq").mapInArrow(cut, "part int, k1 binary, k2 binary")
+    return rows.groupBy("part").applyInArrow(count, "lcp int, n long").groupBy("lcp").agg(F.sum("n").alias("n"))
+
+
 def with_mask(rows: DataFrame, mask: DataFrame, key: str, k: int = K) -> DataFrame:
     """rows (key, pos, neg, ...) with mask: how many bases of the k-mer, from its start, lie in the interval of mask (key, beg, end; none overlap) that holds its post.
 

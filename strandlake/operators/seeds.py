@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.operators.kmers import HALF, K, SYNCMER, sharing, words
+from strandlake.operators.kmers import HALF, K, SYNCMER, common, sharing, words
 from strandlake.storage import written
 
 #: A k-mer that matches so many or more is left out.
@@ -27,15 +27,6 @@ def exact_seeds(a: DataFrame, b: DataFrame, k: int, cap: int) -> DataFrame:
     return asked.join(rare, ["k1", "k2"], "left_semi").join(index, ["k1", "k2"]).select("akey", "apos", "bkey", "bpos")
 
 
-def _bits(x: np.ndarray) -> np.ndarray:
-    return np.frexp(x.astype(np.float64))[1].astype(np.int64)
-
-
-def _common(a1: np.ndarray, a2: np.ndarray, b1: np.ndarray, b2: np.ndarray, k: int) -> np.ndarray:
-    """Leading bases that k-mers have in common."""
-    return np.where(a1 == b1, HALF + (k - HALF) - (_bits(a2 ^ b2) + 1) // 2, HALF - (_bits(a1 ^ b1) + 1) // 2)
-
-
 class _Sorted:
     """Different k-mers with their weights, in order."""
 
@@ -95,7 +86,7 @@ def longest_prefix_matches(a: DataFrame, b: DataFrame, freq: int = FREQ, k: int
         a1, a2 = left.column("k1").to_numpy(), left.column("k2").to_numpy()
         at = own.place(a1, a2)
         up, down = np.minimum(at, len(own.k1) - 1), np.maximum(at - 1, 0)
-        size = np.maximum(_common(a1, a2, own.k1[up], own.k2[up], k), _common(a1, a2, own.k1[down], own.k2[down], k))
+        size = np.maximum(common(a1, a2, own.k1[up], own.k2[up], k), common(a1, a2, own.k1[down], own.k2[down], k))
         some = size >= SYNCMER
         a1, a2, size = a1[some], a2[some], size[some]
         lo, hi = own.range_of(a1, a2, size)
@@ -152,7 +143,7 @@ def self_seeds(rows: DataFrame, freq: int = FREQ, k: int = K, buckets: int = BUC
     def run(own: pa.Table) -> pa.Table:
         s = _Sorted(*(own.column(c).to_numpy() for c in ("k1", "k2", "n")), k)
         n = np.diff(s.upto)
-        step = _common(s.k1[1:], s.k2[1:], s.k1[:-1], s.k2[:-1], k) if len(s.k1) > 1 else np.zeros(0, dtype=np.int64)
+        step = common(s.k1[1:], s.k2[1:], s.k1[:-1], s.k2[:-1], k) if len(s.k1) > 1 else np.zeros(0, dtype=np.int64)
         edge = np.zeros(1, dtype=np.int64)
         size = np.where(n > 1, k, np.maximum(np.concatenate((edge, step)), np.concatenate((step, edge))))
         some = size >= SYNCMER

@@ -48,6 +48,16 @@ def test_kmers_that_travel_in_runs_are_counted_as_others(spark):
     assert sum(len(k1) for k1, _ in kmers._kmers_of(size.astype(int), bits, 40)) == 200_000 - 39
 
 
+def test_counts_of_common_prefixes_equal_those_of_the_rows(spark):
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("acgt") for _ in range(n))
+    core = letters(400)
+    df = spark.createDataFrame(list(enumerate([core, core, letters(80) + core[:200], "at" * 90, core[100:160] + letters(40), "acg", None])), "ctg int, seq string").repartition(2)
+    want = rows(kmers.with_lcp(kmers.index(df, "ctg")).groupBy("lcp").count())
+    assert rows(kmers.lcp_counts(df)) == rows(kmers.lcp_counts(df, at_once=3)) == want and len(want) > 4
+    assert kmers.lcp_counts(df.limit(0)).collect() == []
+
+
 def test_touching_intervals_are_merged(spark):
     df = spark.createDataFrame([(1, 0, 5), (1, 5, 7), (1, 9, 10), (1, 2, 3), (2, 6, 8)], "g int, beg long, end long")
     assert rows(intervals.union(df, "g")) == [(1, 0, 7), (1, 9, 10), (2, 6, 8)]
